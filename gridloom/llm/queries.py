@@ -4,9 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules as qr, reply_trees as rt
+from . import language_bitmask as lb, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt
 from ._shared import read_table
 
+#: Key of the pseudonyms; a deployment passes its own.
+PSEUDONYM_KEY = "gridloom"
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def fold(of: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+
+
+def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(5) == 0, F.lit(False))
+    model = lb.learn(docs.filter(~held_out), F.col("doc_id"))
+    return lb.predict_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pc.encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+    size = lambda c: F.octet_length(c).cast("long")
+    return out.select("doc_id", F.floor(size("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ps.pseudonymise_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = qr.score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -109,7 +139,7 @@ FROM said GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {"op4_quality_rules": op4_quality_rules, "op10_reply_trees": op10_reply_trees}
+    return {"op2_language_bitmask": op2_language_bitmask, "op4_quality_rules": op4_quality_rules, "op7_piece_codec": op7_piece_codec, "op8_pseudonyms": op8_pseudonyms, "op10_reply_trees": op10_reply_trees}
 
 
 def oracle_sql() -> dict[str, str]:
