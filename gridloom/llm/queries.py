@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_bitmask as lb, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt
+from . import interpolated_lm as lm, language_bitmask as lb, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt, simhash_cover as sc
 from ._shared import read_table
 
 #: Key of the pseudonyms; a deployment passes its own.
@@ -28,6 +28,17 @@ def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lb.predict_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def op5_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sc.cluster_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(7) == 2, F.lit(False))
+    return lm.score_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), ~F.col("held_out"), F.coalesce(fold(7) == 5, F.lit(False)))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pc.encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
     size = lambda c: F.octet_length(c).cast("long")
@@ -139,7 +150,7 @@ FROM said GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {"op2_language_bitmask": op2_language_bitmask, "op4_quality_rules": op4_quality_rules, "op7_piece_codec": op7_piece_codec, "op8_pseudonyms": op8_pseudonyms, "op10_reply_trees": op10_reply_trees}
+    return {"op2_language_bitmask": op2_language_bitmask, "op4_quality_rules": op4_quality_rules, "op5_simhash_cover": op5_simhash_cover, "op9_interpolated_lm": op9_interpolated_lm, "op7_piece_codec": op7_piece_codec, "op8_pseudonyms": op8_pseudonyms, "op10_reply_trees": op10_reply_trees}
 
 
 def oracle_sql() -> dict[str, str]:
