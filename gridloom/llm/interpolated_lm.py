@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructType
 
@@ -146,29 +147,31 @@ def _store(docs: DataFrame, training: Column, deleted: Column, text: str) -> Dat
     packed = docs.select(F.struct(*rest, F.lit(None).cast("string").alias("_end")).alias("rest"), role.alias("role"), F.col(text).alias("text"))
 
     def run(batches):
-        held, size = [], 0
-
-        def out():
-            table = pa.Table.from_batches(held)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([size]), pa.array([_ipc(table.combine_chunks())])], ["chunk", "bytes", "blob"])
-
-        for batch in batches:
-            lengths = np.diff(np.append(0, np.cumsum([x or 0 for x in pa.compute.binary_length(batch.column(2)).to_pylist()])))
-            at = 0
-            while at < batch.num_rows:
-                upto = at + 1 + int(np.searchsorted(np.cumsum(lengths[at:]), max(CHUNK - size, 1)))
-                held.append(batch.slice(at, min(upto, batch.num_rows) - at))
-                size += int(lengths[at:upto].sum())
-                at = min(upto, batch.num_rows)
-                if size >= CHUNK:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    import pyarrow.compute  # noqa: F401
-
-    return packed.mapInArrow(run, "chunk string, bytes long, blob binary")
+        held, size = {True: [], False: []}, {True: 0, False: 0}
+
+        def out(kind: bool):
+            table = pa.Table.from_batches(held[kind]).combine_chunks()
+            done = pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([kind]), pa.array([size[kind]]), pa.array([_ipc(table)])], ["chunk", "deleted", "bytes", "blob"])
+            held[kind], size[kind] = [], 0
+            return done
+
+        for whole in batches:
+            for kind in (True, False):  # rows of the deleted part get chunks of their own
+                batch = whole.filter(pc.equal(pc.equal(whole.column(1), DELETED), kind))
+                lengths = np.array([x or 0 for x in pc.binary_length(batch.column(2)).to_pylist()], np.int64)
+                at = 0
+                while at < batch.num_rows:
+                    upto = min(batch.num_rows, at + 1 + int(np.searchsorted(np.cumsum(lengths[at:]), max(CHUNK - size[kind], 1))))
+                    held[kind].append(batch.slice(at, upto - at))
+                    size[kind] += int(lengths[at:upto].sum())
+                    at = upto
+                    if size[kind] >= CHUNK:
+                        yield out(kind)
+        for kind in (True, False):
+            if held[kind]:
+                yield out(kind)
+
+    return packed.mapInArrow(run, "chunk string, deleted boolean, bytes long, blob binary")
 
 
 def _requests(store: DataFrame, ranges: int) -> DataFrame:
@@ -267,21 +270,19 @@ def score_documents(docs: DataFrame, training: Column, deleted: Column, text: st
     replies = materialise(asked.groupBy("kind", "part").applyInArrow(_answer, REPLY))
     sums = replies.filter("kind = 0").agg(F.sum("n_kept"), F.sum("n_all"), F.sum("v_kept"), F.sum("v_all")).first()
     n_kept, n_all, v_kept, v_all = (int(x or 0) for x in sums)
-    sides = lambda: (store.select("chunk", "blob").groupBy("chunk"), replies.select("chunk", "kind", "part", "kept", "deleted").groupBy("chunk"))
+    answers = replies.select("chunk", "kind", "part", "kept", "deleted")
 
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
         c, t = Chunk.read(left.column("blob")[0].as_py()), _totals(right)
         f2, f1, b = _estimates(c, t[0, "kept"], t[1, "kept"], n_kept)
-        use = c.role[c.owner] == DELETED
-        f2, f1, b = f2[use], f1[use], b[use]
         size_of = lambda f: np.where(f > 0, np.clip(np.floor(-np.log2(np.maximum(f, 1e-300)) * 2), 0, 2 * CELLS - 2).astype(np.int64) + 1, 0)
         cell = (b * 2 * CELLS + size_of(f2)) * 2 * CELLS + size_of(f1)
         at, inverse = np.unique(cell, return_inverse=True)
         total = lambda w: np.bincount(inverse, w, len(at))
         return pa.table({"cell": at, "n": np.bincount(inverse, minlength=len(at)), "f2": total(f2), "f1": total(f1)})
 
-    a, b = sides()
-    seen = a.cogroup(b).applyInArrow(cells, "cell long, n long, f2 double, f1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("f2").alias("f2"), F.sum("f1").alias("f1"))
+    part = store.filter("deleted")
+    seen = part.select("chunk", "blob").groupBy("chunk").cogroup(answers.join(part.select("chunk"), "chunk", "left_semi").groupBy("chunk")).applyInArrow(cells, "cell long, n long, f2 double, f1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("f2").alias("f2"), F.sum("f1").alias("f1"))
     rows = sorted(map(tuple, seen.collect()))  # at most BUCKETS * (2 * CELLS) ** 2 cells
     weights = learn_weights([(cell // (2 * CELLS) ** 2, n, f2 / n, f1 / n) for cell, n, f2, f1 in rows], v_kept)
 
@@ -309,6 +310,5 @@ def score_documents(docs: DataFrame, training: Column, deleted: Column, text: st
         schema = to_arrow_schema(out)
         return pa.table([pa.chunked_array([cols[0].cast(schema.field(0).type)]) if not isinstance(cols[0], pa.ChunkedArray) else cols[0].cast(schema.field(0).type), *map(pa.array, cols[1:])], schema=schema)
 
-    a, b = sides()
-    done = a.cogroup(b).applyInArrow(score, out)
+    done = store.select("chunk", "blob").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out)
     return done.select(*[F.col("rest")[f.name].alias(f.name) for f in rest], *[f.name for f in out[1:]])
