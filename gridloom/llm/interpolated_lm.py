@@ -29,7 +29,7 @@ from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, Stru
 
 from ._shared import materialise
 
-CHUNK, RANGE = 8 << 20, 16 << 20
+CHUNK, RANGE, PIECE = 8 << 20, 16 << 20, 1 << 19
 KEPT, DELETED, UNSEEN = 0, 1, 2
 BUCKETS, CELLS, STEPS = 42, 24, 40
 START_KEY, END_KEY = np.uint64(0x5EED0000CAFEF00D), np.uint64(0xE0D0000000000E0D)
@@ -126,7 +126,16 @@ class Chunk:
     def read(blob: bytes) -> Chunk:
         table = _open(blob)
         texts = [t or b"" for t in table.column("text").cast(pa.large_binary()).to_pylist()]
-        key, before, owner = tokens(texts)
+        got, at = [], 0
+        while at < len(texts) or not got:  # a piece at a time: the arrays have several entries for each byte
+            end, size = at, 0
+            while end < len(texts) and size < PIECE:
+                size += len(texts[end])
+                end += 1
+            key, before, owner = tokens(texts[at:end])
+            got.append((key, before, owner + at))
+            at = end
+        key, before, owner = (np.concatenate(x) for x in zip(*got, strict=True))
         uni, uni_at = np.unique(key, return_inverse=True)
         # the start occurs as often as the end, so the end's count stands for it
         before_at = np.searchsorted(uni, np.where(before == START_KEY, END_KEY, before))
