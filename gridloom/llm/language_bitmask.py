@@ -68,6 +68,18 @@ def grams(codes: np.ndarray, owner: np.ndarray, order: int) -> tuple[np.ndarray,
     return h[ok], own[ok]
 
 
+def pieces(texts: list[str], most: int = 1 << 18):
+    """Runs of ``texts`` of about ``most`` characters; arrays over a run stay small."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < most:
+            size += len(texts[end]) + 1
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 @dataclass(frozen=True)
 class LanguageFilter:
     """Rows of bit masks (one 64-bit word for each 64 languages) and the false-positive rate of each language."""
@@ -132,9 +144,14 @@ def learn(labelled: DataFrame, by: Column, text: str = "text", lang: str = "lang
             for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 table.setdefault(x, []).append(t)
             for x, texts in table.items():
-                codes, owner = squeezed(texts)
+                found: dict[int, list] = {order: [] for order in ORDERS}
+                for piece in pieces(texts):
+                    codes, owner = squeezed(piece)
+                    for order in ORDERS:
+                        found[order].append(np.unique(grams(codes, owner, order)[0], return_counts=True))
                 for order in ORDERS:
-                    h, c = np.unique(grams(codes, owner, order)[0], return_counts=True)
+                    h, at = np.unique(np.concatenate([h for h, _ in found[order]]), return_inverse=True)
+                    c = np.bincount(at, np.concatenate([c for _, c in found[order]]), len(h))
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(h), pa.string()), pa.array([order] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "size", "gram", "n"])
 
     counted = chosen.mapInArrow(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
@@ -158,12 +175,8 @@ def predict_documents(docs: DataFrame, model: LanguageFilter, text: str = "text"
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             rest = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != text]
             at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and size < 1 << 19:
-                    size += len(texts[end]) + 1
-                    end += 1
-                part = texts[at:end]
+            for part in pieces(texts):
+                end = at + len(part)
                 if model.languages:
                     counts, total = model.counts(part)
                     best, all_of = counts.argmax(1), counts.sum(1)
