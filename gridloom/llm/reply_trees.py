@@ -50,18 +50,18 @@ def paths(messages: DataFrame) -> DataFrame:
     ids = messages.select("tree_id", "message_id", "parent_id")
     known = ids.select(F.col("tree_id").alias("kt"), F.col("message_id").alias("km"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    jump = ids.join(known, same("tree_id", "kt") & (F.col("parent_id") == F.col("km")), "left").select("tree_id", "message_id", F.col("km").alias("to"))
-    jumps = [materialise(jump)]
+    jump = ids.join(known, same("tree_id", "kt") & (F.col("parent_id") == F.col("km"))).select("tree_id", "message_id", F.col("km").alias("to"))
+    jumps = [materialise(jump)]  # the k-th has the messages with a 2**k-th ancestor only
     most = messages.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 1  # no path is longer
-    while 2 ** (len(jumps) - 1) < most and jumps[-1].filter("to is not null").limit(1).count():
+    while 2 ** (len(jumps) - 1) < most and jumps[-1].limit(1).count():
         far = jumps[-1].select(F.col("tree_id").alias("ft"), F.col("message_id").alias("fm"), F.col("to").alias("far"))
-        jumps.append(materialise(jumps[-1].join(far, same("tree_id", "ft") & (F.col("to") == F.col("fm")), "left").select("tree_id", "message_id", F.col("far").alias("to"))))
-    parents = jumps[0].filter("to is not null").select(F.col("tree_id").alias("pt"), F.col("to").alias("pm")).distinct()
-    out = jumps[0].join(parents, same("tree_id", "pt") & (F.col("message_id") == F.col("pm")), "left_anti")
-    endless = jumps[-1].filter("to is not null").select(F.col("tree_id").alias("et"), F.col("message_id").alias("em"))  # above them is a cycle
-    out = out.join(endless, same("tree_id", "et") & (F.col("message_id") == F.col("em")), "left_anti").select("tree_id", F.col("message_id").alias("leaf_id"), "message_id", F.lit(0).cast("long").alias("up"))
+        jumps.append(materialise(jumps[-1].join(far, same("tree_id", "ft") & (F.col("to") == F.col("fm"))).select("tree_id", "message_id", F.col("far").alias("to"))))
+    parents = jumps[0].select(F.col("tree_id").alias("pt"), F.col("to").alias("pm")).distinct()
+    endless = jumps[-1].select(F.col("tree_id").alias("pt"), F.col("message_id").alias("pm"))  # above them is a cycle
+    out = ids.join(parents.union(endless), same("tree_id", "pt") & (F.col("message_id") == F.col("pm")), "left_anti")
+    out = out.select("tree_id", F.col("message_id").alias("leaf_id"), "message_id", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(jumps) - 1)):
-        step = jumps[k].filter("to is not null").select(F.col("tree_id").alias("st"), F.col("message_id").alias("sm"), "to")
+        step = jumps[k].select(F.col("tree_id").alias("st"), F.col("message_id").alias("sm"), "to")
         out = out.join(step, same("tree_id", "st") & (F.col("message_id") == F.col("sm")), "left")
         out = out.select("tree_id", "leaf_id", F.explode(F.when(F.col("to").isNull(), F.array(F.struct("message_id", "up"))).otherwise(F.array(F.struct("message_id", "up"), F.struct(F.col("to").alias("message_id"), (F.col("up") + 2**k).alias("up"))))).alias("p")).select("tree_id", "leaf_id", "p.*")
     return out
