@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import interpolated_lm as lm, language_bitmask as lb, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt, simhash_cover as sc
+from . import interpolated_lm as lm, language_bitmask as lb, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt, simhash_cover as sc, suffix_merge as sm
 from ._shared import read_table
 
 #: Key of the pseudonyms; a deployment passes its own.
@@ -39,6 +39,11 @@ def op9_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(docs.select("doc_id", held_out.alias("held_out"), "text"), ~F.col("held_out"), F.coalesce(fold(7) == 5, F.lit(False)))
 
 
+def op6_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sm.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pc.encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
     size = lambda c: F.octet_length(c).cast("long")
@@ -150,7 +155,7 @@ FROM said GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {"op2_language_bitmask": op2_language_bitmask, "op4_quality_rules": op4_quality_rules, "op5_simhash_cover": op5_simhash_cover, "op9_interpolated_lm": op9_interpolated_lm, "op7_piece_codec": op7_piece_codec, "op8_pseudonyms": op8_pseudonyms, "op10_reply_trees": op10_reply_trees}
+    return {"op2_language_bitmask": op2_language_bitmask, "op4_quality_rules": op4_quality_rules, "op5_simhash_cover": op5_simhash_cover, "op9_interpolated_lm": op9_interpolated_lm, "op6_suffix_merge": op6_suffix_merge, "op7_piece_codec": op7_piece_codec, "op8_pseudonyms": op8_pseudonyms, "op10_reply_trees": op10_reply_trees}
 
 
 def oracle_sql() -> dict[str, str]:
