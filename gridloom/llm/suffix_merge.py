@@ -32,7 +32,7 @@ from .interpolated_lm import mixed, pack, unpack
 
 SPAN, GRAM = 50, 20
 SLOTS = SPAN - GRAM + 1  # GRAM-byte strings of a window
-CHUNK, RANGE = 6 << 20, 12 << 20
+CHUNK, RANGE = 5 << 20, 6 << 20
 NO_ID = np.iinfo(np.int64).max
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _P = 0x9FB21C651E98DF25 | 1
@@ -76,7 +76,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     lo = 0
     while lo < len(texts):  # a piece of texts at a time bounds the arrays
         hi = lo + 1
-        while hi < len(texts) and ends[hi] - (ends[lo] - sizes[lo]) <= 1 << 20:
+        while hi < len(texts) and ends[hi] - (ends[lo] - sizes[lo]) <= 1 << 18:
             hi += 1
         base = ends[lo] - sizes[lo]
         part = data[base : ends[hi - 1]]
