@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import interpolated_lm as lm, language_bitmask as lb, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt, simhash_cover as sc, suffix_merge as sm
+from . import fuzzy_lines as fl, interpolated_lm as lm, language_bitmask as lb, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt, simhash_cover as sc, suffix_merge as sm
 from ._shared import read_table
 
 #: Key of the pseudonyms; a deployment passes its own.
@@ -54,6 +54,10 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ps.pseudonymise_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fl.count_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = qr.score_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -155,7 +159,7 @@ FROM said GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {"op2_language_bitmask": op2_language_bitmask, "op4_quality_rules": op4_quality_rules, "op5_simhash_cover": op5_simhash_cover, "op9_interpolated_lm": op9_interpolated_lm, "op6_suffix_merge": op6_suffix_merge, "op7_piece_codec": op7_piece_codec, "op8_pseudonyms": op8_pseudonyms, "op10_reply_trees": op10_reply_trees}
+    return {"op2_language_bitmask": op2_language_bitmask, "op3_fuzzy_lines": op3_fuzzy_lines, "op4_quality_rules": op4_quality_rules, "op5_simhash_cover": op5_simhash_cover, "op9_interpolated_lm": op9_interpolated_lm, "op6_suffix_merge": op6_suffix_merge, "op7_piece_codec": op7_piece_codec, "op8_pseudonyms": op8_pseudonyms, "op10_reply_trees": op10_reply_trees}
 
 
 def oracle_sql() -> dict[str, str]:
