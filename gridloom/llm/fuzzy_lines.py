@@ -9,9 +9,9 @@ id, then line number) stays, all others are removed from their documents. Shorte
    shingles go through generated code in one row.
 2. BANDS bands of ROWS values are bucket keys: a pair at the threshold shares a bucket with probability
    1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997, more similar pairs with more.
-3. In each bucket the first PIVOTS lines are compared with all others, by the exact Jaccard similarity of their whole shingle
-   sets. Buckets that are not yet one component afterwards go on with the next PIVOTS lines, so every pair of a bucket is
-   compared or already connected; no step makes more than PIVOTS rows a line and bucket.
+3. In each bucket the first PIVOTS lines are compared with all others: by the whole signatures, then by the exact Jaccard
+   similarity of their whole shingle sets. Buckets that are not one component by then go on with the next
+   lines as pivots, GROWTH times as many each time, until every pair of a bucket is compared or connected.
 4. Connected components of the verified links decide.
 
 A bitmap of fixed size (FILTER_BITS) is broadcast to leave rows out of later shuffles that can't match; as it
@@ -31,7 +31,8 @@ from ._graph import components
 from ._shared import materialise, partitions_for
 
 MIN_CHARS, SHINGLE, THRESHOLD = 30, 12, 0.8
-ROWS, BANDS, BLOCK, PIVOTS = 3, 8, 8, 4
+ROWS, BANDS, BLOCK, AGREE = 3, 8, 8, 12
+PIVOTS, GROWTH = 4, 4
 FILTER_BITS = 1 << 23
 LAST_ID = 2**63 - 1
 CONSTANTS = [int.from_bytes(hashlib.sha256(b"minhash %d" % j).digest()[:8], "big", signed=True) for j in range(ROWS * BANDS)]
@@ -74,20 +75,19 @@ def shingles(code: Column) -> Column:
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) whose lines are similar enough."""
-    got = pairs.join(lines.select(F.col("h").alias("a"), F.col("code").alias("ca")), "a").join(lines.select(F.col("h").alias("b"), F.col("code").alias("cb")), "b")
-    got = got.select("a", "b", shingles(F.col("ca")).alias("sa"), shingles(F.col("cb")).alias("sb"))
+    """The ``pairs`` (a, b) of ``lines`` (h, code, m: signature) that are similar enough.
+
+    Pairs whose signatures agree in fewer than AGREE values are dropped first; a pair at the threshold agrees in 19 on average.
+    """
+    signed = lambda k: lines.select(F.col("h").alias(k), F.col("m").alias(f"m{k}"))
+    coded = lambda k: lines.select(F.col("h").alias(k), F.col("code").alias(f"c{k}"))
+    agree = sum((F.get("ma", F.lit(j)) == F.get("mb", F.lit(j))).cast("int") for j in range(len(CONSTANTS)))
+    likely = pairs.join(signed("a"), "a").join(signed("b"), "b").filter(agree >= AGREE).select("a", "b")
+    got = likely.join(coded("a"), "a").join(coded("b"), "b").select("a", "b", shingles(F.col("ca")).alias("sa"), shingles(F.col("cb")).alias("sb"))
     got = got.withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return got.filter(F.col("both") >= THRESHOLD * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
-def pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of the ``turn``-th group of pivots with the later lines of their bucket."""
-    first = turn * PIVOTS
-    pivots = members.filter((F.col("rank") >= first) & (F.col("rank") < first + PIVOTS)).select("key", F.col("h").alias("a"), F.col("rank").alias("pr"))
-    return members.join(pivots, "key").filter(F.col("rank") > F.col("pr")).select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
-
-
 def may_hold(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
     """``df`` with the column ``_may``, true for every row whose key ``members`` holds and few others."""
     at = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
@@ -101,31 +101,28 @@ def may_hold(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFr
 
 def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(node, root): the component of each line hash that is linked to another."""
-    lines = distinct_lines(line_rows(docs, text, doc_id))
-    members = materialise(buckets(lines))
-    sized = members.groupBy("key").agg(F.max("rank").alias("top"))
-    edges = materialise(verified(pivot_pairs(members, 0), _texts(docs, members, text, doc_id)))
-    turn = 0
+    members = materialise(buckets(distinct_lines(line_rows(docs, text, doc_id))))
+    rows = may_hold(line_rows(docs, text, doc_id).select("h", "line"), "h", members, "h").filter("_may").select("h", "line")
+    found = distinct_lines(rows)
+    signed = signatures(found).select("h", F.array(*[f"m{j}" for j in range(len(CONSTANTS))]).alias("m"))
+    lines = materialise(found.join(signed, "h"))
+    # one label for each line so far; links found later join labels
+    left, lo, hi = members.withColumn("root", F.col("h")), 0, PIVOTS
+    edges = None
     while True:
+        pivots = left.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select("key", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("rank").alias("pr"))
+        pairs = left.join(pivots, "key").filter((F.col("root") != F.col("ra")) & (F.col("rank") > F.col("pr")))
+        more = verified(pairs.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct(), lines)
+        edges = materialise(more if edges is None else edges.union(more))
         groups = components(edges)
-        turn += 1
-        # buckets with lines that have not been pivots and are not all of one component
-        left = members.join(sized.filter(F.col("top") >= turn * PIVOTS).select("key"), "key")
+        # buckets that hold lines that have not been pivots, and more than one component
+        left = members.join(members.filter(F.col("rank") == hi).select("key"), "key")
         left = left.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", F.coalesce("root", "h").alias("root"))
-        split = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        split = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
         left = materialise(left.join(split, "key"))
-        if not left.filter(F.col("rank") == turn * PIVOTS).limit(1).count():
+        if not left.limit(1).count():
             return groups
-        pivots = left.filter((F.col("rank") >= turn * PIVOTS) & (F.col("rank") < (turn + 1) * PIVOTS)).select("key", F.col("h").alias("a"), F.col("root").alias("ra"))
-        pairs = materialise(left.join(pivots, "key").filter("root <> ra").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct())
-        more = verified(pairs, _texts(docs, left, text, doc_id))
-        edges = materialise(edges.union(more).distinct())
-
-
-def _texts(docs: DataFrame, members: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(h, code) of the lines in ``members``."""
-    rows = may_hold(line_rows(docs, text, doc_id).select("h", "line"), "h", members, "h").filter("_may").select("h", "line")
-    return distinct_lines(rows)
+        lo, hi = hi, hi * GROWTH
 
 
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
