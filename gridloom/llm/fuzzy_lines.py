@@ -32,7 +32,7 @@ from ._shared import materialise, partitions_for
 
 MIN_CHARS, SHINGLE, THRESHOLD = 30, 12, 0.8
 ROWS, BANDS, BLOCK, AGREE = 3, 8, 8, 12
-PIVOTS, GROWTH = 4, 4
+PIVOTS, GROWTH = 1, 8
 FILTER_BITS = 1 << 23
 LAST_ID = 2**63 - 1
 CONSTANTS = [int.from_bytes(hashlib.sha256(b"minhash %d" % j).digest()[:8], "big", signed=True) for j in range(ROWS * BANDS)]
