@@ -28,7 +28,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._graph import components
-from ._shared import materialise, partitions_for
+from ._shared import let, materialise, partitions_for
 
 MIN_CHARS, SHINGLE, THRESHOLD = 30, 12, 0.8
 ROWS, BANDS, BLOCK, AGREE = 3, 8, 8, 12
@@ -83,9 +83,11 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     coded = lambda k: lines.select(F.col("h").alias(k), F.col("code").alias(f"c{k}"))
     agree = sum((F.get("ma", F.lit(j)) == F.get("mb", F.lit(j))).cast("int") for j in range(len(CONSTANTS)))
     likely = pairs.join(signed("a"), "a").join(signed("b"), "b").filter(agree >= AGREE).select("a", "b")
-    got = likely.join(coded("a"), "a").join(coded("b"), "b").select("a", "b", shingles(F.col("ca")).alias("sa"), shingles(F.col("cb")).alias("sb"))
-    got = got.withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return got.filter(F.col("both") >= THRESHOLD * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+    got = likely.join(coded("a"), "a").join(coded("b"), "b")
+    enough = lambda x, y, n: n >= THRESHOLD * (F.size(x) + F.size(y) - n)
+    # bound, as a filter would else evaluate the sets once for each mention
+    alike = let(shingles(F.col("ca")), lambda x: let(shingles(F.col("cb")), lambda y: let(F.size(F.array_intersect(x, y)), lambda n: enough(x, y, n))))
+    return got.filter(alike).select("a", "b")
 
 
 def may_hold(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
