@@ -70,8 +70,13 @@ def buckets(lines: DataFrame) -> DataFrame:
 
 
 def shingles(code: Column) -> Column:
-    last = F.greatest(F.octet_length(code) / 2 - SHINGLE, F.lit(0)).cast("int")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(code, i * 2 + 1, F.lit(2 * SHINGLE)))))
+    """The set of a line's shingles, hashed. The line is bound first: reading a binary column copies it."""
+
+    def of(c: Column) -> Column:
+        last = F.greatest(F.octet_length(c) / 2 - SHINGLE, F.lit(0)).cast("int")
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(c, i * 2 + 1, F.lit(2 * SHINGLE)))))
+
+    return let(code, of)
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
