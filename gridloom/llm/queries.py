@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fuzzy_lines as fl, interpolated_lm as lm, language_bitmask as lb, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt, simhash_cover as sc, suffix_merge as sm
+from . import fuzzy_lines as fl, interpolated_lm as lm, language_bitmask as lb, latent_leaks as ll, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt, simhash_cover as sc, suffix_merge as sm
 from ._shared import read_table
 
 #: Key of the pseudonyms; a deployment passes its own.
@@ -21,6 +21,10 @@ def fold(of: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
 
 
+def op1_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ll.find_leaks(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held_out = F.coalesce(fold(5) == 0, F.lit(False))
@@ -159,7 +163,7 @@ FROM said GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {"op2_language_bitmask": op2_language_bitmask, "op3_fuzzy_lines": op3_fuzzy_lines, "op4_quality_rules": op4_quality_rules, "op5_simhash_cover": op5_simhash_cover, "op9_interpolated_lm": op9_interpolated_lm, "op6_suffix_merge": op6_suffix_merge, "op7_piece_codec": op7_piece_codec, "op8_pseudonyms": op8_pseudonyms, "op10_reply_trees": op10_reply_trees}
+    return {"op1_latent_leaks": op1_latent_leaks, "op2_language_bitmask": op2_language_bitmask, "op3_fuzzy_lines": op3_fuzzy_lines, "op4_quality_rules": op4_quality_rules, "op5_simhash_cover": op5_simhash_cover, "op9_interpolated_lm": op9_interpolated_lm, "op6_suffix_merge": op6_suffix_merge, "op7_piece_codec": op7_piece_codec, "op8_pseudonyms": op8_pseudonyms, "op10_reply_trees": op10_reply_trees}
 
 
 def oracle_sql() -> dict[str, str]:
