@@ -1,13 +1,302 @@
-"""Registered queries of the array operators."""
+"""Registered queries of the array operators over arrays made of the driver's tables, with the SQL that checks them.
 
+``events`` is read as an array of frames of 20 x 25 pixels, five planes (z) a volume (t); ``embeddings`` as one image of floats.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-def queries():
-    return {}
+from gridloom.functions import lattice as la
+from gridloom.operators import frames as fr, plates as pl, pooling as po
+from gridloom.plans.layout import ArraySpec, Dimension, Layout, levels, memory_estimate
 
+D = Dimension
+VOLUMES = ArraySpec("volumes", "uint16", (D("t", "time", 0, 2, 2), D("z", "space", 5, 2, 2), D("y", "space", 20, 8, 2), D("x", "space", 25, 8, 2)), method="mean")
+PERMUTED = ArraySpec("permuted", "uint16", (D("t", "time", 0, 1, 1), D("c", "channel", 2, 1, 1), D("z", "space", 5, 1, 1), D("y", "space", 20, 20, 1), D("x", "space", 25, 25, 1)), order=(0, 2, 1, 3, 4))
+L = Layout(VOLUMES)
+HEIGHT, WIDTH, DEPTH = 20, 25, 5
 
-def oracle_sql():
-    return {}
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """(t, z, frame, y, x, v) of events."""
+    i = F.col("event_id")
+    e = table(spark, sf, "events").select("event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("v"))
+    return e.select(la.div(i, 2500).alias("t"), (la.div(i, 500) % 5).alias("z"), la.div(i, 500).alias("frame"), la.div(i % 500, 25).alias("y"), (i % 25).alias("x"), "v", "event_type")
+
+
+PIX = """pix AS (SELECT event_id // 2500 AS t, (event_id // 500) % 5 AS z, event_id // 500 AS frame, (event_id % 500) // 25 AS y,
+  event_id % 25 AS x, CAST(round(value * 100) AS BIGINT) AS v, event_type FROM events)"""
+
+
+def pool2d(method: str):
+    return lambda spark, sf: po.pool_xy(pixels(spark, sf).select("frame", "y", "x", "v"), ["frame"], HEIGHT, WIDTH, method)
+
+
+def pool2d_sql(method: str) -> str:
+    how = {"decimate": "min(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN v END)", "mean": "sum(v * CASE WHEN x = 24 THEN 2 ELSE 1 END) // 4", "min": "min(v)", "max": "max(v)"}[method]
+    return f"WITH {PIX} SELECT frame, y // 2 AS y, x // 2 AS x, CAST({how} AS BIGINT) AS v FROM pix GROUP BY ALL"
+
+
+def pool3d(method: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        flat = po.pool_xy(pixels(spark, sf).select("t", "z", "y", "x", "v"), ["t", "z"], HEIGHT, WIDTH, method)
+        return po.pool_z(flat, ["t"], DEPTH, method)
+
+    return run
+
+
+def pool3d_sql(method: str) -> str:
+    flat = {"decimate": "min(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN v END)", "mean": "sum(v * CASE WHEN x = 24 THEN 2 ELSE 1 END) // 4", "min": "min(v)", "max": "max(v)"}[method]
+    deep = {"decimate": "max(CASE WHEN z % 2 = 0 THEN v END)", "mean": "sum(v) // count(*)", "min": "min(v)", "max": "max(v)"}[method]
+    return f"""WITH {PIX}, flat AS (SELECT t, z, y // 2 AS y, x // 2 AS x, {flat} AS v FROM pix GROUP BY ALL)
+SELECT t, zz AS z, y, x, CAST({deep} AS BIGINT) AS v FROM (SELECT *, z // 2 AS zz FROM flat) GROUP BY t, zz, y, x HAVING count(*) = 2 OR zz = 2"""
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for m in ("mean", "min", "max", "decimate"):
+        one = pool3d(m)(spark, sf).withColumn("method", F.lit(m))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+SCALED = ArraySpec("scaled", "int64", (D("t", "time", 0, 1, 1), D("z", "space", 5, 2, 1), D("y", "space", 20, 5, 1), D("x", "space", 25, 5, 1)))
+
+
+def pyramid(method: str):
+    import dataclasses
+
+    spec = dataclasses.replace(SCALED, method=method)
+    return lambda spark, sf: po.pyramid(pixels(spark, sf).select("t", "z", "y", "x", "v"), spec, ["t"])
+
+
+def pyramid_sql(method: str) -> str:
+    """Levels of SCALED by hand: (5,20,25) (3,10,13) (2,5,7)."""
+
+    def level(src: str, height: int, width: int, depth: int) -> tuple[str, str]:
+        w = f"CASE WHEN y = {height - 1} AND {height} % 2 = 1 THEN 2 ELSE 1 END * CASE WHEN x = {width - 1} AND {width} % 2 = 1 THEN 2 ELSE 1 END"
+        flat = {"mean": f"sum(v * {w}) // 4", "max": "max(v)", "min": "min(v)"}[method]
+        deep = {"mean": "sum(v) // count(*)", "max": "max(v)", "min": "min(v)"}[method]
+        alone = f"OR (zz = {depth // 2} AND {depth} % 2 = 1)"
+        return (f"SELECT t, z, y // 2 AS y, x // 2 AS x, {flat} AS v FROM {src} GROUP BY ALL", f"SELECT t, zz AS z, y, x, CAST({deep} AS BIGINT) AS v FROM (SELECT *, z // 2 AS zz FROM {{f}}) GROUP BY t, zz, y, x HAVING count(*) = 2 {alone}")
+
+    ctes, src = [PIX], "pix"
+    for k, (h, w, d) in enumerate(((20, 25, 5), (10, 13, 3)), 1):
+        flat, deep = level(src, h, w, d)
+        # z halves while it is larger than its chunk of 2
+        ctes += [f"f{k} AS ({flat})", f"l{k} AS ({deep.format(f=f'f{k}')})"]
+        src = f"l{k}"
+    return f"WITH {', '.join(ctes)} SELECT 0 AS level, t, z, y, x, v FROM pix UNION ALL SELECT 1, t, z, y, x, v FROM l1 UNION ALL SELECT 2, t, z, y, x, v FROM l2"
+
+
+def pyramid_levels(spark: SparkSession, sf: str) -> DataFrame:
+    import dataclasses
+
+    plans = levels(dataclasses.replace(SCALED, method="mean"))
+    return spark.createDataFrame([(k, *(d.size for d in p.axes[-3:]), *(float(d.scale) for d in p.axes[-3:])) for k, p in enumerate(plans)], "level int, z long, y long, x long, sz double, sy double, sx double")
+
+
+def embedding_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("x", "v")).withColumn("x", F.col("x").cast("long"))
+
+
+def embedding_pool(method: str):
+    return lambda spark, sf: po.pool_floats(embedding_pixels(spark, sf), [], method).withColumn("v", F.col("v").cast("double"))
+
+
+def embedding_pool_sql(method: str) -> str:
+    return f"""WITH e AS (SELECT vec_id AS y, unnest(range(0, 64)) AS x, unnest(embedding) AS v FROM embeddings)
+SELECT y // 2 AS y, x // 2 AS x, CAST({method}(v) AS DOUBLE) AS v FROM e GROUP BY ALL"""
+
+
+def frames_of(spark: SparkSession, sf: str) -> DataFrame:
+    return pixels(spark, sf).groupBy("frame").agg(F.sum("v").alias("total"))
+
+
+def frame_layout(spark: SparkSession, sf: str) -> DataFrame:
+    f = F.col("frame")
+    t, z = la.frame_coords(L, f)
+    return frames_of(spark, sf).select("frame", t.alias("t"), z.alias("z"), la.lattice(L, f, 0).alias("lt"), la.lattice(L, f, 1).alias("lz"), la.tile_offset(L, f).alias("tile"), la.internal_offset(L, f).alias("inside"), "total")
+
+
+def transpose(spark: SparkSession, sf: str) -> DataFrame:
+    f = F.col("frame")
+    return frames_of(spark, sf).select("frame", la.transposed(Layout(PERMUTED), f).alias("stored"), "total")
+
+
+def swap_xy(spark: SparkSession, sf: str) -> DataFrame:
+    return pixels(spark, sf).select("frame", F.col("x").alias("y"), F.col("y").alias("x"), "v")
+
+
+CHUNK_SQL = f"""{PIX}, c AS (SELECT *, ((frame // 10 * 3 + frame % 5 // 2) * 3 + y // 8) * 4 + x // 8 AS chunk FROM pix)"""
+
+
+def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
+    p = pixels(spark, sf).withColumn("chunk", la.chunk_of(L, F.col("frame"), F.col("y"), F.col("x")))
+    return p.groupBy("chunk").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"), F.sum((F.col("v") != 0).cast("long")).alias("nonzero"))
+
+
+def zero_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of single rows that keep a nonzero pixel when only one kind of event counts."""
+    v = F.when(F.col("event_type") == "click", F.col("v")).otherwise(0)
+    p = pixels(spark, sf).select("frame", "y", la.div(F.col("x"), 4).alias("cx"), v.alias("v"))
+    return p.groupBy("frame", "y", "cx").agg(F.bool_or(F.col("v") != 0).alias("stored"), F.sum("v").alias("total"))
+
+
+def shards(spark: SparkSession, sf: str) -> DataFrame:
+    c = pixels(spark, sf).select(la.chunk_of(L, F.col("frame"), F.col("y"), F.col("x")).alias("chunk")).distinct()
+    return c.select("chunk", la.shard_of(L, F.col("chunk")).alias("shard"), la.slot_of(L, F.col("chunk")).alias("slot"), la.shard_path(L, F.col("chunk")).alias("path"))
+
+
+def ragged_slots(spark: SparkSession, sf: str) -> DataFrame:
+    """Slots of the written shards that no chunk fills."""
+    have = shards(spark, sf)
+    slots = have.select("path").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    return slots.join(have.select("path", "slot"), ["path", "slot"], "left_anti")
+
+
+SHARD_SQL = f"""{CHUNK_SQL}, d AS (SELECT DISTINCT chunk FROM c),
+k AS (SELECT chunk, chunk // 36 AS t, chunk // 12 % 3 AS z, chunk // 4 % 3 AS y, chunk % 4 AS x FROM d),
+s AS (SELECT chunk, (z // 2 * 2 + y // 2) * 2 + x // 2 AS shard, ((t % 2 * 2 + z % 2) * 2 + y % 2) * 2 + x % 2 AS slot,
+  'c/' || (t // 2) || '/' || (z // 2) || '/' || (y // 2) || '/' || (x // 2) AS path FROM k)"""
+
+
+def gap_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Arrays by type of event: frames of every second event id are out of order from the first gap on."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("array_key"), la.div(F.col("event_id"), 5).alias("frame_id")).distinct()
+    return fr.order_faults(e)
+
+
+def zero_fill(spark: SparkSession, sf: str) -> DataFrame:
+    f = frames_of(spark, sf).filter("frame % 3 <> 1")
+    return fr.zero_filled(f, 40, "frame", "total")
+
+
+def bounds(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.within_bounds(frames_of(spark, sf), 8 * 1000, 1000, "frame")
+
+
+def residue(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of each type's props read as frames of 1000 bytes."""
+    e = table(spark, sf, "events").groupBy("event_type").agg(F.sum(F.octet_length("props")).cast("long").alias("bytes"))
+    whole, rest = fr.reframed(F.col("bytes"), 1000)
+    return e.select("event_type", "bytes", whole.alias("frames"), rest.alias("rest"))
+
+
+def routes(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    e = e.select("event_type", la.div(place.cast("long"), 500).alias("frame"), F.round(F.col("value") * 100).cast("long").alias("v"))
+    return e.groupBy("event_type", "frame").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+def append_shape(spark: SparkSession, sf: str) -> DataFrame:
+    n = la.div(F.count("*") + 499, 500)
+    return table(spark, sf, "events").agg(n.alias("frames")).select("frames", la.div(F.col("frames") + 4, 5).alias("t"), F.lit(5).alias("z"), F.lit(20).alias("y"), F.lit(25).alias("x"))
+
+
+def memory(spark: SparkSession, sf: str) -> DataFrame:
+    s = ArraySpec("a", "uint16", (D("t", "time", 0, 5, 1), D("c", "channel", 3, 1, 1), D("z", "space", 6, 2, 1), D("y", "space", 48, 16, 1), D("x", "space", 64, 16, 1)))
+    b = ArraySpec("b", "uint16", (D("t", "time", 0, 1, 1), D("z", "space", 1000, 64, 1), D("y", "space", 64, 64, 1), D("x", "space", 64, 64, 1)))
+    return spark.createDataFrame([("a", memory_estimate([s])), ("b", memory_estimate([b]))], "spec string, bytes long")
+
+
+def key_checks(spark: SparkSession, sf: str) -> DataFrame:
+    k = table(spark, sf, "pages").select("page_id", F.concat(F.lit(" /"), F.regexp_replace("url", "^https?://", ""), F.lit("// ")).alias("raw"))
+    k = k.select("page_id", la.normal_key(F.col("raw")).alias("key"))
+    return k.withColumn("valid", la.valid_key(F.col("key")))
+
+
+def plate_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Regions as rows, nations as columns, suppliers and customers as fields of view with the segment as acquisition."""
+    regions, nations = table(spark, sf, "region"), table(spark, sf, "nation")
+    plate = F.lit("p").alias("plate")
+    rows = regions.select(plate, F.col("r_name").alias("name"), F.col("r_regionkey").cast("int").alias("idx"))
+    columns = nations.select(plate, F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("idx"))
+    wells = nations.join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey")).select(plate, F.col("r_name").alias("row_name"), F.col("n_name").alias("column_name"), "n_nationkey")
+    c = table(spark, sf, "customer")
+    fovs = c.join(F.broadcast(wells), F.col("c_nationkey") == F.col("n_nationkey")).select("plate", "row_name", "column_name", F.col("c_name").alias("path"), (F.col("c_custkey") % 7).cast("int").alias("acquisition_id"))
+    acquisitions = spark.range(6).select(plate, F.col("id").cast("int").alias("id"))
+    return {"rows": rows, "columns": columns, "wells": wells, "fovs": fovs, "acquisitions": acquisitions}
+
+
+FOV_SQL = """f AS (SELECT 'p' AS plate, r_name AS row_name, n_name AS column_name, c_name AS path, CAST(c_custkey % 7 AS INT) AS acquisition_id
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def plate_index(spark: SparkSession, sf: str) -> DataFrame:
+    p = plate_tables(spark, sf)
+    return pl.well_index(p["wells"], p["rows"], p["columns"])
+
+
+def field_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return pl.field_counts(plate_tables(spark, sf)["fovs"]).withColumn("acquisition_id", F.coalesce("acquisition_id", F.lit(-1)))
+
+
+def acquisition_check(spark: SparkSession, sf: str) -> DataFrame:
+    p = plate_tables(spark, sf)
+    return pl.missing_acquisitions(p["fovs"], p["acquisitions"]).select("row_name", "column_name", "path", "acquisition_id")
+
+
+def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
+    p = plate_tables(spark, sf)
+    keys = pl.array_keys(table(spark, sf, "part").select(F.col("p_brand").alias("array_key")), p["fovs"])
+    return pl.group_paths(keys)
+
+
+def metadata_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The last text of each role wins, as the last write of a metadata key does."""
+    c = table(spark, sf, "conversations")
+    return c.groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("value"))
+
+
+def queries() -> dict:
+    out = {f"pool2d_{m}": pool2d(m) for m in ("decimate", "mean", "min", "max")}
+    out |= {f"pool3d_{m}": pool3d(m) for m in ("decimate", "mean", "min", "max")}
+    out |= {f"pyramid_{m}": pyramid(m) for m in ("mean", "min", "max")}
+    out |= {f"embedding_pool_{m}": embedding_pool(m) for m in ("min", "max")}
+    return out | {
+        "pyramid_levels": pyramid_levels, "frame_layout": frame_layout, "transpose_axes": transpose, "swap_xy": swap_xy, "chunk_stats": chunk_stats,
+        "zero_chunks": zero_chunks, "shard_assignment": shards, "ragged_slots": ragged_slots, "frame_gap_check": gap_check, "skip_zero_fill": zero_fill,
+        "bounds_check": bounds, "frame_residue": residue, "multi_array_routes": routes, "append_shape": append_shape, "memory_estimate": memory,
+        "key_checks": key_checks, "plate_index": plate_index, "field_counts": field_counts, "acquisition_check": acquisition_check,
+        "group_paths": hierarchy, "metadata_merge": metadata_merge,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {f"pool2d_{m}": pool2d_sql(m) for m in ("decimate", "mean", "min", "max")}
+    out["pool2d_decimate"] = f"WITH {PIX} SELECT frame, y // 2 AS y, x // 2 AS x, v FROM pix WHERE y % 2 = 0 AND x % 2 = 0"
+    out |= {f"pool3d_{m}": pool3d_sql(m) for m in ("decimate", "mean", "min", "max")}
+    out |= {f"pyramid_{m}": pyramid_sql(m) for m in ("mean", "min", "max")}
+    out |= {f"embedding_pool_{m}": embedding_pool_sql(m) for m in ("min", "max")}
+    frames = f"{PIX}, fs AS (SELECT frame, CAST(sum(v) AS BIGINT) AS total FROM pix GROUP BY frame)"
+    well = "SELECT 'p' AS plate, r_name AS row_name, n_name AS column_name, CAST(r_regionkey AS INT) AS row_index, CAST(n_nationkey AS INT) AS column_index FROM nation JOIN region ON n_regionkey = r_regionkey"
+    return out | {
+        "pyramid_levels": "SELECT * FROM (VALUES (0, 5, 20, 25, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (1, 3, 10, 13, 2.0, 2.0, 2.0), (2, 2, 5, 7, 4.0, 4.0, 4.0)) AS v(level, z, y, x, sz, sy, sx)",
+        "frame_layout": f"WITH {frames} SELECT frame, frame // 5 AS t, frame % 5 AS z, frame // 10 AS lt, frame % 5 // 2 AS lz, frame % 5 // 2 * 12 AS tile, (frame % 5 % 2 + frame // 5 % 2 * 2) * 128 AS inside, total FROM fs",
+        "transpose_axes": f"WITH {frames} SELECT frame, frame // 10 * 10 + frame % 5 * 2 + frame // 5 % 2 AS stored, total FROM fs",
+        "swap_xy": f"WITH {PIX} SELECT frame, x AS y, y AS x, v FROM pix",
+        "chunk_stats": f"WITH {CHUNK_SQL} SELECT chunk, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most, CAST(sum(CASE WHEN v <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS nonzero FROM c GROUP BY chunk",
+        "zero_chunks": f"WITH {PIX}, m AS (SELECT frame, y, x // 4 AS cx, CASE WHEN event_type = 'click' THEN v ELSE 0 END AS v FROM pix) SELECT frame, y, cx, bool_or(v <> 0) AS stored, CAST(sum(v) AS BIGINT) AS total FROM m GROUP BY ALL",
+        "shard_assignment": f"WITH {SHARD_SQL} SELECT chunk, shard, slot, path FROM s",
+        "ragged_slots": f"WITH {SHARD_SQL} SELECT path, slot FROM (SELECT DISTINCT path FROM s), (SELECT unnest(range(0, 16)) AS slot) EXCEPT SELECT path, slot FROM s",
+        "frame_gap_check": "WITH e AS (SELECT DISTINCT event_type AS array_key, event_id // 5 AS frame_id FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY array_key ORDER BY frame_id) - 1 AS expected FROM e) SELECT * FROM r WHERE frame_id <> expected",
+        "skip_zero_fill": f"WITH {frames} SELECT i AS frame, coalesce(total, 0) AS total FROM (SELECT unnest(range(0, 40)) AS i) LEFT JOIN (SELECT * FROM fs WHERE frame % 3 <> 1) ON i = frame",
+        "bounds_check": f"WITH {frames} SELECT frame, total FROM fs WHERE frame < 8",
+        "frame_residue": "SELECT event_type, CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(sum(strlen(props)) // 1000 AS BIGINT) AS frames, CAST(sum(strlen(props)) % 1000 AS BIGINT) AS rest FROM events GROUP BY event_type",
+        "multi_array_routes": "WITH e AS (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 500 AS frame, CAST(round(value * 100) AS BIGINT) AS v FROM events) SELECT event_type, frame, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM e GROUP BY ALL",
+        "append_shape": "SELECT (count(*) + 499) // 500 AS frames, ((count(*) + 499) // 500 + 4) // 5 AS t, 5 AS z, 20 AS y, 25 AS x FROM events",
+        "memory_estimate": "SELECT * FROM (VALUES ('a', 3704832), ('b', 4726784)) AS v(spec, bytes)",
+        "key_checks": "WITH k AS (SELECT page_id, ' /' || regexp_replace(url, '^https?://', '') || '// ' AS raw FROM pages), n AS (SELECT page_id, regexp_replace(regexp_replace(raw, '^[\\s/]+|[\\s/]+$', '', 'g'), '/+', '/', 'g') AS key FROM k) SELECT page_id, key, regexp_matches(key, '^[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)*$') AND NOT regexp_matches(key, '(^|/)\\.+(/|$)') AND NOT regexp_matches(key, '(^|/)__') AS valid FROM n",
+        "plate_index": well,
+        "field_counts": f"WITH {FOV_SQL}, w AS (SELECT plate, acquisition_id, row_name, column_name, count(*) AS n FROM f GROUP BY ALL), a AS (SELECT plate, row_name, column_name, count(*) AS n FROM f GROUP BY ALL) SELECT plate, acquisition_id, max(n) AS most FROM w GROUP BY ALL UNION ALL SELECT plate, -1, max(n) FROM a GROUP BY plate",
+        "acquisition_check": f"WITH {FOV_SQL} SELECT row_name, column_name, path, acquisition_id FROM f WHERE acquisition_id > 5",
+        "group_paths": f"WITH {FOV_SQL} SELECT DISTINCT plate AS path FROM f UNION SELECT DISTINCT plate || '/' || row_name FROM f UNION SELECT DISTINCT plate || '/' || row_name || '/' || column_name FROM f",
+        "metadata_merge": "SELECT conv_id, role, arg_max(text, turn) AS value FROM conversations GROUP BY ALL",
+    }
