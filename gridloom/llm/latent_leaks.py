@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .interpolated_lm import END_KEY, tokens
 
-WINDOW, STRIDE, RANK, BLOCK = 32, 16, 384, 256
-COVER, COMMON = 0.45, 0.01  # share of a benchmark passage's vector; words in more than this share of passages are left out
-FULL, PART, ANSWER, MIN_ITEM = 0.75, 0.55, 5, 8
+WINDOW, STRIDE, RANK, BLOCK = 32, 16, 128, 256
+COVER, COMMON = 0.45, 0.002  # share of a benchmark passage's vector; words in more than this share of passages are left out
+FULL, PART, ANSWER, MIN_ITEM = 0.75, 0.6, 5, 8
 PIECE, SEED = 1 << 18, 7
 #: ASCII punctuation becomes space.
 PLAIN = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
@@ -120,15 +120,17 @@ def _train(docs: DataFrame, items: Items, rank: int, common: np.ndarray | None)
                     continue
                 # rows of blocks that have a term, and the block after each
                 some, row = np.unique(block[hit], return_inverse=True)
-                sums = np.zeros((len(some), rank), np.float32)
-                np.add.at(sums, row, omega[term[hit]])
+                sums = np.add.reduceat(omega[term[hit]], np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1]), axis=0)
                 after = np.searchsorted(some, some + 1)
                 joined = goes_on[some] & (after < len(some)) & (some[np.minimum(after, len(some) - 1)] == some + 1)
                 whole = sums.copy()
                 whole[joined] += sums[after[joined]]
                 back = whole.copy()  # a block lies in its own passage and in the one that starts a block earlier
                 back[after[joined]] += whole[joined]
-                np.add.at(image, term[hit], back[row])
+                by = np.argsort(term[hit], kind="stable")
+                which = term[hit][by]
+                start = np.concatenate([[0], np.nonzero(np.diff(which))[0] + 1])
+                image[which[start]] += np.add.reduceat(back[row[by]], start, axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([b"" if image is None else image.astype(np.float32).tobytes()]), pa.array([total])], ["df", "image", "n"])
 
     def add(batches):
@@ -143,7 +145,7 @@ def _train(docs: DataFrame, items: Items, rank: int, common: np.ndarray | None)
 
     schema = "df binary, image binary, n long"
     sums = docs.mapInArrow(run, schema)
-    rows = sums.coalesce(max(1, min(8, sums.rdd.getNumPartitions()))).mapInArrow(add, schema).collect()  # at most 8 tables of fixed size
+    rows = sums.repartition(8).mapInArrow(add, schema).collect()  # 8 tables of fixed size
     df = sum((np.frombuffer(r[0], np.int64) for r in rows), np.zeros(n, np.int64))
     image = None if common is None else sum((np.frombuffer(r[1], np.float32).reshape(n, rank).astype(np.float64) for r in rows), np.zeros((n, rank)))
     return df, image, sum(r[2] for r in rows)
