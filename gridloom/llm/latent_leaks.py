@@ -212,6 +212,7 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, text: str, out, sc
     size = (queries**2).sum(1)
     scaled = np.where(size[:, None] > 0, queries / np.maximum(size, 1e-12)[:, None], 0).T.copy()
     useful = (space != 0).any(1)
+    least = COVER**2 * size[size > 0].min(initial=np.inf) * (1 - 1e-4)
 
     def run(batches):
         for batch in batches:
@@ -238,7 +239,10 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, text: str, out, sc
                     joined = np.append((here[1:] == here[:-1] + 1) & goes_on[here[:-1]], False)
                     z = sums.copy()
                     z[joined] += sums[1:][joined[:-1]]
-                    w, q = np.nonzero(z @ scaled >= COVER)
+                    # a passage with less than the shortest query's share of length covers none
+                    long = np.nonzero((z * z).sum(1) >= least)[0]
+                    w, q = np.nonzero(z[long] @ scaled >= COVER)
+                    w = long[w]
                     self_check(hits, base, tell, here[w].tolist(), items.passage_item[q].tolist())
             if hits:
                 rows, which = zip(*sorted(hits), strict=True)
