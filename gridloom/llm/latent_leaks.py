@@ -212,7 +212,9 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, text: str, out, sc
     size = (queries**2).sum(1)
     scaled = np.where(size[:, None] > 0, queries / np.maximum(size, 1e-12)[:, None], 0).T.copy()
     useful = (space != 0).any(1)
-    least = COVER**2 * size[size > 0].min(initial=np.inf) * (1 - 1e-4)
+    by_size = np.argsort(size, kind="stable")
+    by_size = by_size[size[by_size] > 0]
+    groups = [(COVER**2 * size[g[0]] * (1 - 1e-4), g, scaled[:, g].copy()) for g in np.array_split(by_size, min(12, max(len(by_size), 1))) if len(g)]
 
     def run(batches):
         for batch in batches:
@@ -239,11 +241,12 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, text: str, out, sc
                     joined = np.append((here[1:] == here[:-1] + 1) & goes_on[here[:-1]], False)
                     z = sums.copy()
                     z[joined] += sums[1:][joined[:-1]]
-                    # a passage with less than the shortest query's share of length covers none
-                    long = np.nonzero((z * z).sum(1) >= least)[0]
-                    w, q = np.nonzero(z[long] @ scaled >= COVER)
-                    w = long[w]
-                    self_check(hits, base, tell, here[w].tolist(), items.passage_item[q].tolist())
+                    energy = (z * z).sum(1)
+                    for least, which, matrix in groups:
+                        long = np.nonzero(energy >= least)[0]  # shorter passages can't cover these queries
+                        if len(long):
+                            w, q = np.nonzero(z[long] @ matrix >= COVER)
+                            self_check(hits, base, tell, here[long[w]].tolist(), items.passage_item[which[q]].tolist())
             if hits:
                 rows, which = zip(*sorted(hits), strict=True)
                 take = pa.array(rows, pa.int64())
