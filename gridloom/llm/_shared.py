@@ -29,6 +29,12 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(text, SPACES, -1), ""), F.array().cast("array<string>"))
 
 
+def make_room(df: DataFrame, *made: str) -> DataFrame:
+    """``df`` without columns named like those that an operator is about to add: the operator's win."""
+    taken = {m.lower() for m in made}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder of the session and read back, so lineage ends here.
 

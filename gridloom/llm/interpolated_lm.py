@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructType
 
-from ._shared import materialise
+from ._shared import make_room, materialise
 
 CHUNK, RANGE, PIECE = 8 << 20, 16 << 20, 1 << 19
 KEPT, DELETED, UNSEEN = 0, 1, 2
@@ -272,6 +272,7 @@ def score_documents(docs: DataFrame, training: Column, deleted: Column, text: st
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    docs = make_room(docs, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     store = materialise(_store(docs, F.coalesce(training, F.lit(False)), F.coalesce(deleted, F.lit(False)), text))
     size = store.agg(F.sum("bytes")).first()[0] or 0
     ranges = max(12, -(-size // RANGE))

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._shared import make_room
+
 ORDERS = (1, 2, 3, 4)
 MIN_SHARE, RELATIVE = 5e-5, 0.4
 HASHES, BITS_A_GRAM = 3, 16
@@ -167,6 +169,7 @@ def predict_documents(docs: DataFrame, model: LanguageFilter, text: str = "text"
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    docs = make_room(docs, "lang_pred", "score")
     out = StructType([f for f in docs.schema if f.name != text]).add("lang_pred", StringType()).add("score", DoubleType())
 
     def run(batches):

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._shared import make_room
 from .interpolated_lm import END_KEY, tokens
 
 WINDOW, STRIDE, RANK, BLOCK = 32, 16, 128, 256
@@ -194,6 +195,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, LongType, StructType
 
+    docs = make_room(docs, "item_id", "share")
     rest = StructType([f for f in docs.schema if f.name != text])
     out = StructType([*rest]).add("item_id", LongType()).add("share", DoubleType())
     order = sorted(((r[0], r[1]) for r in benchmark.select(F.col(item_id).cast("long"), item_text).collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._arrow import per_text
+from ._shared import make_room
 
 MARK = "▁"
 #: Parts that a worker remembers at most; beyond that it starts afresh.
@@ -219,6 +220,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BinaryType, StringType, StructType
 
+    docs = make_room(docs, "ids", "spans", "decoded")
     model = load(path)
     out = StructType([f for f in docs.schema if f.name != text]).add("ids", BinaryType()).add("spans", BinaryType()).add("decoded", StringType())
 

@@ -18,6 +18,7 @@ import re
 from pyspark.sql import DataFrame
 
 from ._arrow import per_text
+from ._shared import make_room
 
 ROUNDS = 10
 KINDS = ("email", "iban", "card", "ssn", "ipv4", "date", "phone", "secret")
@@ -172,6 +173,7 @@ def pseudonymise_documents(docs: DataFrame, key: str, text: str = "text") -> Dat
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StringType, StructType
 
+    docs = make_room(docs, *[f"n_{k}" for k in KINDS])
     secret = hashlib.sha256(key.encode()).digest()
     out = StructType([f for f in docs.schema if f.name != text]).add("text", StringType())
     for k in KINDS:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._arrow import per_text
 from ._graph import components
-from ._shared import materialise, partitions_for
+from ._shared import make_room, materialise, partitions_for
 
 SHINGLE, SEED, THRESHOLD = 4, 42, 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructType
 
+    docs = make_room(docs, "fp")
     out = StructType([f for f in docs.schema if f.name != text]).add("fp", LongType())
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     return docs.mapInArrow(lambda batches: per_text(batches, to_arrow_schema(out), lambda t: (signed(fingerprint(t)),), text), out)
@@ -178,7 +179,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def cluster_documents(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The columns of ``docs`` but the text, then ``fp`` and ``component_id`` (smallest id that links reach)."""
-    known = materialise(fingerprints(docs, text))
+    known = materialise(fingerprints(make_room(docs, "component_id", "f", "first", "node", "root", "r", "w"), text))
     groups = components(links(known, threshold))
     firsts = known.groupBy(F.col("fp").alias("f")).agg(F.min(doc_id).alias("first"))
     rooted = firsts.join(groups, F.col("f") == F.col("node"), "left").select("f", "first", F.coalesce("root", "f").alias("r"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructType
 
-from ._shared import materialise
+from ._shared import make_room, materialise
 from .interpolated_lm import mixed, pack, unpack
 
 SPAN, GRAM = 50, 20
@@ -330,6 +330,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """The columns of ``docs`` but the text, then kept (binary), n_bytes, n_removed and n_spans of each row."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    docs = make_room(docs, "kept", "n_bytes", "n_removed", "n_spans")
     store = materialise(_store(docs, text, doc_id))
     size = store.agg(F.sum("bytes")).first()[0] or 0
     ranges = max(12, -(-size // RANGE))
