@@ -8,7 +8,8 @@ id, then line number) stays, all others are removed from their documents. Shorte
    after XOR with the j-th constant, which ranks the shingles by closeness to that constant. Blocks of BLOCK
    shingles go through generated code in one row.
 2. BANDS bands of ROWS values are bucket keys: a pair at the threshold shares a bucket with probability
-   1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997, more similar pairs with more.
+   1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997, more similar pairs with more. The lines found are dealt to finer buckets,
+   FINE_BANDS choices of FINE_ROWS values, which a pair at the threshold shares with probability 0.998.
 3. In each bucket the first PIVOTS lines are compared with all others: by the whole signatures, then by the exact Jaccard
    similarity of their whole shingle sets. Buckets that are not one component by then go on with the next
    lines as pivots, GROWTH times as many each time, until every pair of a bucket is compared or connected.
@@ -24,6 +25,7 @@ counts as largest; an empty table gives no rows; other columns come back untouch
 from __future__ import annotations
 
 import hashlib
+import random
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -33,6 +35,7 @@ from ._shared import let, materialise, partitions_for
 MIN_CHARS, SHINGLE, THRESHOLD = 30, 12, 0.8
 ROWS, BANDS, BLOCK, AGREE = 3, 8, 8, 12
 PIVOTS, GROWTH = 1, 8
+FINE_ROWS, FINE_BANDS = 5, 16
 FILTER_BITS = 1 << 23
 LAST_ID = 2**63 - 1
 CONSTANTS = [int.from_bytes(hashlib.sha256(b"minhash %d" % j).digest()[:8], "big", signed=True) for j in range(ROWS * BANDS)]
@@ -63,7 +66,17 @@ def signatures(lines: DataFrame) -> DataFrame:
 def buckets(lines: DataFrame) -> DataFrame:
     """(key, h, rank): the lines of each bucket with two or more, numbered from 0."""
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    rows = signatures(lines).select("h", F.explode(F.array(*keys)).alias("key"))
+    return _ranked(signatures(lines).select("h", F.explode(F.array(*keys)).alias("key")))
+
+
+def fine_buckets(lines: DataFrame) -> DataFrame:
+    """Buckets of ``lines`` (h, m: signature) by FINE_BANDS choices of FINE_ROWS values: lines that share a passage only part here."""
+    pick = random.Random(0)
+    keys = [F.xxhash64(F.lit(-1 - b), *[F.get("m", F.lit(j)) for j in pick.sample(range(len(CONSTANTS)), FINE_ROWS)]) for b in range(FINE_BANDS)]
+    return _ranked(lines.select("h", F.explode(F.array(*keys)).alias("key")))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("key").orderBy("h")
     ranked = rows.select("key", "h", (F.row_number().over(order) - 1).alias("rank"), F.lead("h").over(order).alias("next"))
     return ranked.filter("rank > 0 or next is not null").select("key", "h", "rank")
@@ -113,6 +126,7 @@ def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     found = distinct_lines(rows)
     signed = signatures(found).select("h", F.array(*[f"m{j}" for j in range(len(CONSTANTS))]).alias("m"))
     lines = materialise(found.join(signed, "h"))
+    members = materialise(fine_buckets(lines))
     # one label for each line so far; links found later join labels
     left, lo, hi = members.withColumn("root", F.col("h")), 0, PIVOTS
     edges = None
