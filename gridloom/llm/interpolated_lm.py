@@ -41,25 +41,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _odd(place: np.ndarray) -> np.ndarray:
+    """The odd factor of each place in a word."""
+    return mixed((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+#: Factors of the first places; longer words compute theirs.
+_ODD = _odd(np.arange(64))
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
+_BLANKS = bytes([32, *range(9, 14)])
+#: One for blanks, zero for bytes of words.
+_EDGES = bytes(c in _BLANKS for c in range(256))
 _BREAK = 10
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token keys, keys of each token's context, text index of each token): multilinear hashes of words."""
-    data = np.frombuffer(b"\n".join([*(t.lower() for t in texts), b""]), np.uint8)
+    whole = b"\n".join([*(t.lower() for t in texts), b""])
     ends = np.cumsum([len(t) + 1 for t in texts]) - 1  # position of each text's closing break
-    blank = _BLANK[data]
-    begin = np.nonzero(~blank & np.concatenate([[True], blank[:-1]]))[0]
-    stop = np.nonzero(~blank & np.concatenate([blank[1:], [True]]))[0] + 1
-    n = stop - begin
+    blank = np.frombuffer(b"\x01" + whole.translate(_EDGES), bool)
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    begin, n = edges[::2], edges[1::2] - edges[::2]
     if len(begin):
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(begin, n) + within
-        odd = mixed((within.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-        h = np.add.reduceat(_BYTES[data[at]] * odd, np.cumsum(n) - n)
+        # words are all that isn't blank, so their bytes in a row need no positions
+        data = np.frombuffer(whole.translate(None, _BLANKS), np.uint8)
+        start = np.cumsum(n) - n
+        within = np.ones(len(data), np.int64)
+        within[0], within[start[1:]] = 0, 1 - n[:-1]
+        np.cumsum(within, out=within)
+        odd = _ODD[within] if n.max() <= len(_ODD) else _odd(within)
+        h = np.add.reduceat(_BYTES[data] * odd, start)
         h = mixed(h + n.astype(np.uint64))
     else:
         h = np.zeros(0, np.uint64)

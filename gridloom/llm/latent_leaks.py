@@ -33,6 +33,8 @@ WINDOW, STRIDE, RANK, BLOCK = 32, 16, 128, 256
 COVER, COMMON = 0.45, 0.002  # share of a benchmark passage's vector; words in more than this share of passages are left out
 FULL, PART, ANSWER, MIN_ITEM = 0.75, 0.6, 5, 8
 PIECE, SEED = 1 << 18, 7
+SLOT_BITS, SHARED = 18, -2
+SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
 #: ASCII punctuation becomes space.
 PLAIN = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 
@@ -68,6 +70,7 @@ class Items:
     vocabulary: np.ndarray
     passage_item: np.ndarray
     passages: list[np.ndarray]
+    slots: np.ndarray
 
     @staticmethod
     def of(rows: list[tuple]) -> Items:
@@ -83,12 +86,24 @@ class Items:
                 if len(w):
                     owner.append(i)
                     passages.append(np.searchsorted(vocabulary, w[min(at, max(len(w) - WINDOW, 0)) :][:WINDOW]))
-        return Items([r[0] for r in rows], [w.tolist() for w in words], [a.tolist() for a in answers], vocabulary, np.array(owner, np.int64), passages)
+        return Items([r[0] for r in rows], [w.tolist() for w in words], [a.tolist() for a in answers], vocabulary, np.array(owner, np.int64), passages, Items.slots_of(vocabulary))
+
+    @staticmethod
+    def slots_of(vocabulary: np.ndarray) -> np.ndarray:
+        """By the first SLOT_BITS bits of a key: its vocabulary row, -1 for none, SHARED for several."""
+        slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        slot, n = np.unique(vocabulary >> SLOT_SHIFT, return_counts=True)
+        slots[vocabulary >> SLOT_SHIFT] = np.arange(len(vocabulary))
+        slots[slot[n > 1]] = SHARED
+        return slots
 
     def terms(self, key: np.ndarray) -> np.ndarray:
         """Vocabulary rows of the keys, -1 for others."""
-        at = np.minimum(np.searchsorted(self.vocabulary, key), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == key, at, -1)
+        at = self.slots[key >> SLOT_SHIFT].astype(np.int64)
+        crowded = np.nonzero(at == SHARED)[0]
+        at[crowded] = np.minimum(np.searchsorted(self.vocabulary, key[crowded]), len(self.vocabulary) - 1)
+        at[(at >= 0) & (self.vocabulary[at] != key)] = -1
+        return at
 
 
 def _random(n: int, rank: int) -> np.ndarray:
