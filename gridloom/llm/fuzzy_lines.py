@@ -71,11 +71,11 @@ def buckets(lines: DataFrame) -> DataFrame:
 
 
 def shingles(code: Column) -> Column:
-    """A line's shingles, hashed, with repeats. The line is bound first: reading a binary column copies it."""
+    """The set of a line's shingles, hashed. The line is bound first: reading a binary column copies it."""
 
     def of(c: Column) -> Column:
         last = F.greatest(F.octet_length(c) / 2 - SHINGLE, F.lit(0)).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(c, i * 2 + 1, F.lit(2 * SHINGLE))))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(c, i * 2 + 1, F.lit(2 * SHINGLE)))))
 
     return let(code, of)
 
@@ -94,22 +94,23 @@ def differing(x: Column, y: Column) -> Column:
     return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
 
 
-def may_be_alike(a: str, b: str, na: str, nb: str) -> Column:
-    """Whether the sketches agree in AGREE values or more and the sizes of the sets allow the threshold.
+def may_be_alike(a: str, b: str) -> Column:
+    """Whether the sketches agree in AGREE values or more.
 
     A pair at the threshold agrees in 19 values on average. Different values with one last byte count as equal, so no pair is lost by that.
     """
     apart = sum(differing(F.col(f"{a}.s{k}"), F.col(f"{b}.s{k}")) for k in range(len(CONSTANTS) // 8))
-    return (apart <= len(CONSTANTS) - AGREE) & (F.least(na, nb) >= THRESHOLD * F.greatest(na, nb))
+    return apart <= len(CONSTANTS) - AGREE
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of ``lines`` (h, code, n: size of its set) with the column ``same``: whether they are similar enough."""
-    side = lambda k: lines.select(F.col("h").alias(k), F.col("code").alias(f"c{k}"), F.col("n").alias(f"n{k}"))
-    got = pairs.join(side("a"), "a").join(side("b"), "b")
-    # bound, as the lines would else be copied for each shingle
-    both = let(shingles(F.col("ca")), lambda x: let(shingles(F.col("cb")), lambda y: F.size(F.array_intersect(x, y))))
-    return got.select("a", "b", "na", "nb", both.alias("both")).select("a", "b", (F.col("both") >= THRESHOLD * (F.col("na") + F.col("nb") - F.col("both"))).alias("same"))
+    """The ``pairs`` (a, b) of ``lines`` (h, code) with the column ``same``: whether they are similar enough."""
+    coded = lambda k: lines.select(F.col("h").alias(k), F.col("code").alias(f"c{k}"))
+    got = pairs.join(coded("a"), "a").join(coded("b"), "b")
+    enough = lambda x, y, n: n >= THRESHOLD * (F.size(x) + F.size(y) - n)
+    # bound, as the sets would else be evaluated once for each mention
+    same = let(shingles(F.col("ca")), lambda x: let(shingles(F.col("cb")), lambda y: let(F.size(F.array_intersect(x, y)), lambda n: enough(x, y, n))))
+    return got.select("a", "b", same.alias("same"))
 
 
 def may_hold(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
@@ -129,14 +130,14 @@ def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows = may_hold(line_rows(docs, text, doc_id).select("h", "line"), "h", members, "h").filter("_may").select("h", "line")
     found = distinct_lines(rows)
     signed = signatures(found).select("h", sketch([F.col(f"m{j}") for j in range(len(CONSTANTS))]).alias("s"))
-    lines = materialise(found.join(signed, "h").select("h", "code", "s", F.size(F.array_distinct(shingles(F.col("code")))).alias("n")))
+    lines = materialise(found.join(signed, "h"))
     # one label for each line so far; links found later join labels
-    members = members.join(lines.select("h", "s", "n"), "h").select("key", "h", "rank", "s", "n")
+    members = members.join(lines.select("h", "s"), "h").select("key", "h", "rank", "s")
     left, lo, hi = materialise(members.withColumn("root", F.col("h"))), 0, PIVOTS
     members, tested = left.drop("root"), None
     while True:
-        pivots = left.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select(F.col("key").alias("pk"), F.col("h").alias("ph"), F.col("root").alias("pr"), F.col("rank").alias("pn"), F.col("s").alias("ps"), F.col("n").alias("pz"))
-        meet = (F.col("key") == F.col("pk")) & (F.col("rank") > F.col("pn")) & (F.col("root") != F.col("pr")) & may_be_alike("s", "ps", "n", "pz")
+        pivots = left.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select(F.col("key").alias("pk"), F.col("h").alias("ph"), F.col("root").alias("pr"), F.col("rank").alias("pn"), F.col("s").alias("ps"))
+        meet = (F.col("key") == F.col("pk")) & (F.col("rank") > F.col("pn")) & (F.col("root") != F.col("pr")) & may_be_alike("s", "ps")
         pairs = left.join(pivots, meet).select(F.least("ph", "h").alias("a"), F.greatest("ph", "h").alias("b")).distinct()
         if tested is not None:  # two lines may meet in several buckets
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -145,7 +146,7 @@ def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         groups = components(tested.filter("same"))
         # buckets that hold lines that have not been pivots, and more than one component
         left = members.join(members.filter(F.col("rank") == hi).select("key"), "key")
-        left = left.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", "s", "n", F.coalesce("root", "h").alias("root"))
+        left = left.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", "s", F.coalesce("root", "h").alias("root"))
         split = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
         left = materialise(left.join(split, "key"))
         if not left.limit(1).count():
