@@ -9,8 +9,8 @@ id, then line number) stays, all others are removed from their documents. Shorte
    shingles go through generated code in one row.
 2. BANDS bands of ROWS values are bucket keys: a pair at the threshold shares a bucket with probability
    1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997, more similar pairs with more.
-3. In each bucket the first PIVOTS lines are compared with all others: by the whole signatures, then by the exact Jaccard
-   similarity of their whole shingle sets. Buckets that are not one component by then go on with the next
+3. In each bucket the first PIVOTS lines are compared with all others: by sketches of their signatures, then by the exact Jaccard
+   similarity of their whole shingle sets; no pair is checked twice. Buckets that are not one component by then go on with the next
    lines as pivots, GROWTH times as many each time, until every pair of a bucket is compared or connected.
 4. Connected components of the verified links decide.
 
