@@ -30,7 +30,7 @@ from ._shared import make_room
 from .interpolated_lm import END_KEY, tokens
 
 WINDOW, STRIDE, RANK, BLOCK = 32, 16, 128, 256
-COVER, COMMON = 0.45, 0.002  # share of a benchmark passage's vector; words in more than this share of passages are left out
+COVER = 0.45  # share of a benchmark passage's vector
 FULL, PART, ANSWER, MIN_ITEM = 0.75, 0.6, 5, 8
 PIECE, SEED = 1 << 18, 7
 SLOT_BITS, SHARED = 18, -2
@@ -110,16 +110,16 @@ def _random(n: int, rank: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((n, rank)).astype(np.float32)
 
 
-def _train(docs: DataFrame, items: Items, rank: int, common: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, int]:
+def _train(docs: DataFrame, items: Items, rank: int) -> tuple[np.ndarray, np.ndarray | None, int]:
     """Sums over all passages: (passages with each term, image of the random matrix or None, passages).
 
-    Without ``common`` only counts; with it, terms marked there are left out of the image.
+    Without a ``rank`` only counts.
     """
     n = len(items.vocabulary)
 
     def run(batches):
-        df, image, total = np.zeros(n, np.int64), np.zeros((n, rank), np.float32) if common is not None else None, 0
-        omega = _random(n, rank) if common is not None else None
+        df, image, total = np.zeros(n, np.int64), np.zeros((n, rank), np.float32) if rank else None, 0
+        omega = _random(n, rank) if rank else None
         for batch in batches:
             for _, key, owner in pieces(batch.column(0).cast(pa.large_binary()).to_pylist()):
                 term = items.terms(key)
@@ -131,7 +131,6 @@ def _train(docs: DataFrame, items: Items, rank: int, common: np.ndarray | None)
                     df += np.bincount(pair % n, minlength=n)
                     total += len(first)
                     continue
-                hit = hit[~common[term[hit]]]
                 if not len(hit):
                     continue
                 # rows of blocks that have a term, and the block after each
@@ -157,13 +156,13 @@ def _train(docs: DataFrame, items: Items, rank: int, common: np.ndarray | None)
                 total += t
                 if i:
                     image += np.frombuffer(i, np.float32).reshape(n, rank)
-        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([image.astype(np.float32).tobytes() if common is not None else b""]), pa.array([total])], ["df", "image", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([image.astype(np.float32).tobytes() if rank else b""]), pa.array([total])], ["df", "image", "n"])
 
     schema = "df binary, image binary, n long"
     sums = docs.mapInArrow(run, schema)
     rows = sums.repartition(8).mapInArrow(add, schema).collect()  # 8 tables of fixed size
     df = sum((np.frombuffer(r[0], np.int64) for r in rows), np.zeros(n, np.int64))
-    image = None if common is None else sum((np.frombuffer(r[1], np.float32).reshape(n, rank).astype(np.float64) for r in rows), np.zeros((n, rank)))
+    image = None if not rank else sum((np.frombuffer(r[1], np.float32).reshape(n, rank).astype(np.float64) for r in rows), np.zeros((n, rank)))
     return df, image, sum(r[2] for r in rows)
 
 
@@ -171,10 +170,9 @@ def latent_space(docs: DataFrame, items: Items) -> np.ndarray:
     """For each vocabulary term its TF-IDF weight times its row of the basis."""
     n = len(items.vocabulary)
     rank = min(RANK, n)
-    df, _, total = _train(docs, items, rank, None)
-    common = df > max(COMMON * total, 2 * len(items.passages) + 20)
-    idf = np.where(common, 0.0, np.log((total + 1) / (df + 1)) + 1)
-    _, image, _ = _train(docs, items, rank, common)
+    df, _, total = _train(docs, items, 0)
+    idf = np.log((total + 1) / (df + 1)) + 1  # one or more: words in every passage count too
+    _, image, _ = _train(docs, items, rank)
     omega, own = _random(n, rank), np.zeros((n, rank))
     for p in items.passages:
         np.add.at(own, p, np.broadcast_to(omega[p].sum(0), (len(p), rank)))
@@ -228,7 +226,6 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, text: str, out, sc
     queries = np.stack([space[p].sum(0) for p in items.passages])
     size = (queries**2).sum(1)
     scaled = np.where(size[:, None] > 0, queries / np.maximum(size, 1e-12)[:, None], 0).T.copy()
-    useful = (space != 0).any(1)
     by_size = np.argsort(size, kind="stable")
     by_size = by_size[size[by_size] > 0]
     groups = [(COVER**2 * size[g[0]] * (1 - 1e-4), g, scaled[:, g].copy()) for g in np.array_split(by_size, min(12, max(len(by_size), 1))) if len(g)]
@@ -243,7 +240,6 @@ def _search(docs: DataFrame, items: Items, space: np.ndarray, text: str, out, sc
                 first, goes_on = blocks(owner)
                 block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
                 hit = np.nonzero(term >= 0)[0]
-                hit = hit[useful[term[hit]]]
                 if not len(hit):
                     continue
                 some, row = np.unique(block[hit], return_inverse=True)

@@ -206,3 +206,11 @@ def test_leaks(spark, docs, none):
     assert got == {(500, 1), (501, 2)}
     assert ll.find_leaks(none.select("doc_id", "text"), bench).count() == 0 and ll.find_leaks(more, bench.filter("false")).count() == 0
     assert ll.drop_leaked(more, bench).collect()[0].doc_id == 502
+
+
+def test_leaks_in_many_documents(spark):
+    items = [(1, text(900, 30)), (2, "alpha1 beta2 gamma3 delta4 " * 8)]
+    filler = lambda i: "".join(f"word{i}x{k} " for k in range(40))
+    data = [(i, filler(i) + (items[0][1] if i % 3 == 0 else items[1][1] if i % 3 == 1 else "none") + " " + filler(i + 3000)) for i in range(3000)]
+    got = ll.find_leaks(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 3 + 1) for i in range(3000) if i % 3 < 2}
