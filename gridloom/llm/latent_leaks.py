@@ -1,15 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages (WINDOW words, half overlapping) of all documents and of the benchmark are TF-IDF vectors over the
-benchmark's words. A randomised SVD gives a latent space: each task multiplies its passages with a random matrix and
-back (a range finder with one power step), the sums over all tasks have a fixed size, and their QR basis is
-the space. The benchmark's own passages get the weight of the whole corpus, so that the space keeps their rare words. A
+benchmark's words. The latent space holds the span of the benchmark's own passages whole (by SVD), as a smaller one loses
+paraphrases; a randomised range finder over the corpus fills it up to RANK: each task multiplies its passages with a random
+matrix and back (one power step), and the sums over all tasks have a fixed size. A
 second pass projects each passage; those that cover enough of a benchmark passage's latent vector are
 candidates, and the longest common subsequence of words around a candidate decides: a share of the item of FULL or more is a
 leak, a share of PART or more is one if the words of the item's answer are there in order too (a paraphrase). The answer is
 what follows the last "answer:", else the last ANSWER words.
 
-The benchmark is a query set that goes to all tasks; it is read in blocks of BLOCK items, each with
+The benchmark is a query set that goes to all tasks; it is read in blocks of up to BLOCK items and RANK passages, each with
 a space of its own, so what a task holds is bounded.
 
 Defined results: null and blank texts leak nothing; a blank item is in no document; repeated rows are judged
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from ._shared import make_room
 from .interpolated_lm import END_KEY, tokens
 
-WINDOW, STRIDE, RANK, BLOCK = 32, 16, 128, 256
-COVER = 0.45  # share of a benchmark passage's vector
-FULL, PART, ANSWER, MIN_ITEM = 0.75, 0.6, 5, 8
+WINDOW, STRIDE, RANK, BLOCK = 32, 16, 384, 256
+COVER = 0.3  # share of a benchmark passage's vector
+FULL, PART, ANSWER, MIN_ITEM = 0.75, 0.55, 5, 8
 PIECE, SEED = 1 << 18, 7
 SLOT_BITS, SHARED = 18, -2
 SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
@@ -106,6 +106,16 @@ class Items:
         return at
 
 
+def portions(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Runs of up to BLOCK items with up to RANK passages, so that a space of that rank holds them whole."""
+    at = 0
+    while at < len(rows):
+        n = np.bincount(Items.of(rows[at : at + BLOCK]).passage_item, minlength=len(rows[at : at + BLOCK]))
+        end = at + max(1, int(np.searchsorted(np.cumsum(n), RANK, side="right")))
+        yield rows[at:end]
+        at = end
+
+
 def _random(n: int, rank: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((n, rank)).astype(np.float32)
 
@@ -167,19 +177,26 @@ def _train(docs: DataFrame, items: Items, rank: int) -> tuple[np.ndarray, np.nda
 
 
 def latent_space(docs: DataFrame, items: Items) -> np.ndarray:
-    """For each vocabulary term its TF-IDF weight times its row of the basis."""
-    n = len(items.vocabulary)
-    rank = min(RANK, n)
+    """For each vocabulary term its TF-IDF weight times its row of the basis.
+
+    The basis holds the span of the benchmark's passages whole, so that covers are exact; the range finder fills it up to RANK.
+    """
+    n, m = len(items.vocabulary), len(items.passages)
     df, _, total = _train(docs, items, 0)
     idf = np.log((total + 1) / (df + 1)) + 1  # one or more: words in every passage count too
-    _, image, _ = _train(docs, items, rank)
-    omega, own = _random(n, rank), np.zeros((n, rank))
-    for p in items.passages:
-        np.add.at(own, p, np.broadcast_to(omega[p].sum(0), (len(p), rank)))
-    mass = np.linalg.norm(image) / max(np.linalg.norm(own), 1e-9)
-    y = idf[:, None] * (image + max(mass, 1.0) * own)
-    q, r = np.linalg.qr(y)
-    q = q[:, np.abs(np.diag(r)) > 1e-9 * max(np.abs(r).max(initial=0), 1e-300)]
+    own = np.zeros((n, m))
+    for k, p in enumerate(items.passages):
+        np.add.at(own[:, k], p, idf[p])
+    q, size, _ = np.linalg.svd(own, full_matrices=False)
+    q = q[:, size > 1e-9 * size.max(initial=0)]
+    rest = min(RANK, n) - q.shape[1]
+    if rest > 0:
+        _, image, _ = _train(docs, items, rest)
+        y = idf[:, None] * image
+        for _ in range(2):  # twice, for the sake of rounding
+            y -= q @ (q.T @ y)
+        more, r = np.linalg.qr(y)
+        q = np.hstack([q, more[:, np.abs(np.diag(r)) > 1e-9 * max(np.abs(r).max(initial=0), 1e-300)]])
     return (idf[:, None] * q).astype(np.float32)
 
 
@@ -213,8 +230,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     out = StructType([*rest]).add("item_id", LongType()).add("share", DoubleType())
     order = sorted(((r[0], r[1]) for r in benchmark.select(F.col(item_id).cast("long"), item_text).collect()), key=lambda r: (r[0] is None, r[0], r[1] or ""))
     found = docs.sparkSession.createDataFrame([], out)
-    for lo in range(0, len(order), BLOCK):
-        items = Items.of(order[lo : lo + BLOCK])
+    for rows in portions(order):
+        items = Items.of(rows)
         if not len(items.vocabulary):
             continue
         space = latent_space(docs.select(F.col(text)), items)

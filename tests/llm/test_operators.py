@@ -214,3 +214,19 @@ def test_leaks_in_many_documents(spark):
     data = [(i, filler(i) + (items[0][1] if i % 3 == 0 else items[1][1] if i % 3 == 1 else "none") + " " + filler(i + 3000)) for i in range(3000)]
     got = ll.find_leaks(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i % 3 + 1) for i in range(3000) if i % 3 < 2}
+
+
+def test_leaks_of_paraphrases(spark):
+    r = random.Random(11)
+    items = [(i, text(2000 + i, r.randint(20, 60))) for i in range(120)]
+    data, want = [], set()
+    for i, t in items:
+        w = t.split(" ")
+        for k in range(3):
+            kept = [x if j >= len(w) - 5 or r.random() < 0.6 else f"other{r.randint(0, 500)}" for j, x in enumerate(w)]
+            same = sum(a == b for a, b in zip(kept, w, strict=True))
+            if same >= 0.55 * len(w):
+                want.add((3 * i + k, i))
+            data.append((3 * i + k, text(3 * i + k, r.randint(0, 90)) + " " + " ".join(kept) + " " + text(5000 + i, 60)))
+    got = ll.find_leaks(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 200 and want <= {(x.doc_id, x.item_id) for x in got}
