@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ._graph import components
 from ._shared import let, materialise, partitions_for
 
-MIN_CHARS, SHINGLE, THRESHOLD = 30, 12, 0.8
+MIN_CHARS, SHINGLE, THRESHOLD = 30, 5, 0.8
 ROWS, BANDS, BLOCK, AGREE = 3, 8, 8, 12
 PIVOTS, GROWTH = 1, 8
 FILTER_BITS = 1 << 23

@@ -230,3 +230,13 @@ def test_leaks_of_paraphrases(spark):
             data.append((3 * i + k, text(3 * i + k, r.randint(0, 90)) + " " + " ".join(kept) + " " + text(5000 + i, 60)))
     got = ll.find_leaks(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(want) > 200 and want <= {(x.doc_id, x.item_id) for x in got}
+
+
+def test_lines_with_a_changed_character(spark):
+    r = random.Random(4)
+    lines = ["".join(r.choice("abcdefghij klmnop") for _ in range(r.randint(60, 118))) for _ in range(60)]
+    changed = [x[: len(x) // 2] + "7" + x[len(x) // 2 + 1 :] for x in lines]
+    sets = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    assert all(len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y)) for x, y in zip(lines, changed, strict=True))
+    out = fl.drop_lines(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(changed))], "doc_id long, text string"))
+    assert {x.doc_id: x.text for x in out.collect()} == {1: "\n".join(lines), 2: ""}
