@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash, in DataFrame expressions only.
 
-Lines of at least MIN_CHARS characters (lower case, trimmed) that are equal, or whose sets of SHINGLE-character
+Lines with a word (lower case, trimmed) that are equal, or whose sets of SHINGLE-character
 shingles have a Jaccard similarity of THRESHOLD or more, are linked; of each component the first line (smallest document
-id, then line number) stays, all others are removed from their documents. Shorter lines are never touched.
+id, then line number) stays, all others are removed from their documents. A line shorter than
+a shingle is its own only shingle. Blank lines are never touched.
 
 1. Distinct lines meet by a 64-bit hash. Each shingle is hashed once; the j-th signature value is the minimum of these hashes
    after XOR with the j-th constant, which ranks the shingles by closeness to that constant. Blocks of BLOCK
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ._graph import components
 from ._shared import let, materialise, partitions_for
 
-MIN_CHARS, SHINGLE, THRESHOLD = 30, 5, 0.8
+MIN_CHARS, SHINGLE, THRESHOLD = 1, 5, 0.8
 ROWS, BANDS, BLOCK, AGREE = 3, 8, 8, 12
 PIVOTS, GROWTH = 1, 8
 FILTER_BITS = 1 << 23
@@ -42,7 +43,7 @@ CONSTANTS = [int.from_bytes(hashlib.sha256(b"minhash %d" % j).digest()[:8], "big
 def line_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(doc, dk, line_no, line, h): all lines that take part; ``dk`` is the key of the document, ``h`` of the line."""
     df = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(doc_id, text).alias("dk"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
-    df = df.select("doc", "dk", "line_no", F.lower(F.trim("raw")).alias("line")).filter(F.length("line") >= MIN_CHARS)
+    df = df.select("doc", "dk", "line_no", F.lower(F.trim("raw")).alias("line")).filter((F.length("line") >= MIN_CHARS) & F.col("line").rlike("[^ \\t-\\r]"))
     return df.withColumn("h", F.xxhash64("line"))
 
 

@@ -240,3 +240,9 @@ def test_lines_with_a_changed_character(spark):
     assert all(len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y)) for x, y in zip(lines, changed, strict=True))
     out = fl.drop_lines(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(changed))], "doc_id long, text string"))
     assert {x.doc_id: x.text for x in out.collect()} == {1: "\n".join(lines), 2: ""}
+
+
+def test_short_lines(spark):
+    data = [(1, "all rights reserved.\nok\n\n \t\none"), (2, "All rights reserved.\n\n \t\nok\ntwo"), (3, "three\n ok \nall rights reserved")]
+    out = fl.drop_lines(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {x.doc_id: x.text for x in out.collect()} == {1: data[0][1], 2: "\n \t\ntwo", 3: "three"}
