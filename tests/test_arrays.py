@@ -103,3 +103,11 @@ def test_stream_reframes(spark, tmp_path):
     q = reframe(stream, 3).writeStream.format("memory").queryName("framed").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert sorted((r.frame_id, bytes(r.data)) for r in spark.table("framed").collect()) == [(0, b"abc"), (1, b"def")]
+
+
+def test_zero_fill_of_all_frames(spark, monkeypatch):
+    from gridloom import catalogue
+
+    for n, most in ((0, 40), (20, 40), (200, 200)):
+        monkeypatch.setattr(catalogue, "frames_of", lambda spark, sf, n=n: spark.range(n).selectExpr("id as frame", "id + 7 as total"))
+        assert sorted(map(tuple, catalogue.zero_fill(spark, "").collect())) == [(i, i + 7 if i < n and i % 3 != 1 else 0) for i in range(most)]
