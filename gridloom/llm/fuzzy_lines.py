@@ -62,10 +62,10 @@ def signatures(lines: DataFrame) -> DataFrame:
     return hashes.groupBy("h").agg(*[F.min(F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(c)) for k in range(BLOCK)])).alias(f"m{j}") for j, c in enumerate(CONSTANTS)])
 
 
-def buckets(lines: DataFrame) -> DataFrame:
-    """(key, h, rank): the lines of each bucket with two or more, numbered from 0."""
+def buckets(signed: DataFrame) -> DataFrame:
+    """(key, h, rank) from signatures: the lines of each bucket with two or more, numbered from 0."""
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    rows = signatures(lines).select("h", F.explode(F.array(*keys)).alias("key"))
+    rows = signed.select("h", F.explode(F.array(*keys)).alias("key"))
     order = Window.partitionBy("key").orderBy("h")
     ranked = rows.select("key", "h", (F.row_number().over(order) - 1).alias("rank"), F.lead("h").over(order).alias("next"))
     return ranked.filter("rank > 0 or next is not null").select("key", "h", "rank")
@@ -104,13 +104,13 @@ def may_be_alike(a: str, b: str) -> Column:
     return apart <= len(CONSTANTS) - AGREE
 
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of ``lines`` (h, code) with the column ``same``: whether they are similar enough."""
+def verified(pairs: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
+    """The ``pairs`` (a, b) of ``lines`` (h, code) with the column ``same``: whether the ``sets`` of their codes are similar enough."""
     coded = lambda k: lines.select(F.col("h").alias(k), F.col("code").alias(f"c{k}"))
     got = pairs.join(coded("a"), "a").join(coded("b"), "b")
     enough = lambda x, y, n: n >= THRESHOLD * (F.size(x) + F.size(y) - n)
     # bound, as the sets would else be evaluated once for each mention
-    same = let(shingles(F.col("ca")), lambda x: let(shingles(F.col("cb")), lambda y: let(F.size(F.array_intersect(x, y)), lambda n: enough(x, y, n))))
+    same = let(sets(F.col("ca")), lambda x: let(sets(F.col("cb")), lambda y: let(F.size(F.array_intersect(x, y)), lambda n: enough(x, y, n))))
     return got.select("a", "b", same.alias("same"))
 
 
@@ -127,11 +127,15 @@ def may_hold(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFr
 
 def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(node, root): the component of each line hash that is linked to another."""
-    members = materialise(buckets(distinct_lines(line_rows(docs, text, doc_id))))
+    members = materialise(buckets(signatures(distinct_lines(line_rows(docs, text, doc_id)))))
     rows = may_hold(line_rows(docs, text, doc_id).select("h", "line"), "h", members, "h").filter("_may").select("h", "line")
     found = distinct_lines(rows)
     signed = signatures(found).select("h", sketch([F.col(f"m{j}") for j in range(len(CONSTANTS))]).alias("s"))
-    lines = materialise(found.join(signed, "h"))
+    return linked(members, materialise(found.join(signed, "h")))
+
+
+def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
+    """(node, root) from the buckets ``members`` (key, h, rank) and ``lines`` (h, code, sketch s)."""
     # one label for each line so far; links found later join labels
     members = members.join(lines.select("h", "s"), "h").select("key", "h", "rank", "s")
     left, lo, hi = materialise(members.withColumn("root", F.col("h"))), 0, PIVOTS
@@ -142,7 +146,7 @@ def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         pairs = left.join(pivots, meet).select(F.least("ph", "h").alias("a"), F.greatest("ph", "h").alias("b")).distinct()
         if tested is not None:  # two lines may meet in several buckets
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        more = verified(pairs, lines)
+        more = verified(pairs, lines, sets)
         tested = materialise(more if tested is None else tested.union(more))
         groups = components(tested.filter("same"))
         # buckets that hold lines that have not been pivots, and more than one component

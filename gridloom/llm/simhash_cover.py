@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import fuzzy_lines as fl
 from ._arrow import per_text
 from ._graph import components
-from ._shared import make_room, materialise, partitions_for
+from ._shared import let, make_room, materialise, partitions_for, words
 
-SHINGLE, SEED, THRESHOLD = 4, 42, 4
+SHINGLE, SEED, THRESHOLD, SIMILAR_WORDS = 4, 42, 4, 5
 BLOCKS = ((0, 22), (22, 21), (43, 21))  # (first bit, bits)
 GOLAY, LENGTH, CHECKS, RADIUS = 0xC75, 23, 11, 3  # generator polynomial and parameters of the perfect Golay code
 SINGLE_MOST, PART_HOMES = 4_000_000, 4096
@@ -193,3 +194,41 @@ def drop_near_copies(docs: DataFrame, threshold: int = THRESHOLD, text: str = "t
     groups = cluster_documents(docs.select(doc_id, text), threshold, text, doc_id)
     gone = groups.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("gone_id")).distinct()
     return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+
+
+def word_sets(text):
+    """The hashed SIMILAR_WORDS-word shingles of a text in lower case; a shorter text is its own only shingle."""
+
+    def of(w):
+        last = F.greatest(F.size(w) - SIMILAR_WORDS, F.lit(0))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(SIMILAR_WORDS)), " "))))
+
+    return let(words(F.lower(text)), of)
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(id, first): of each document with words the smallest id among those linked by a Jaccard similarity of 0.8 or more.
+
+    Candidates come from MinHash buckets (0.997 of the pairs at 0.8) and are checked by their whole shingle sets.
+    """
+    worded = docs.filter(F.col(doc_id).isNotNull() & (F.size(words(F.col(text))) > 0))
+    rows = materialise(worded.select(F.col(doc_id).alias("id"), word_sets(F.col(text)).alias("code")).withColumn("h", F.xxhash64("code")))
+
+    def least(c: int):
+        return F.array_min(F.transform("code", lambda x: x.bitwiseXOR(F.lit(c))))
+
+    signed = materialise(rows.groupBy("h").agg(F.first("code").alias("code")).select("h", "code", *[least(c).alias(f"m{j}") for j, c in enumerate(fl.CONSTANTS)]))
+    lines = materialise(signed.select("h", "code", fl.sketch([F.col(f"m{j}") for j in range(len(fl.CONSTANTS))]).alias("s")))
+    groups = fl.linked(materialise(fl.buckets(signed)), lines, lambda code: code)
+    rooted = rows.select("id", "h").join(groups, F.col("h") == F.col("node"), "left").select("id", F.coalesce("root", "h").alias("r"))
+    firsts = rooted.groupBy(F.col("r").alias("w")).agg(F.min("id").alias("first"))
+    return rooted.join(firsts, F.col("r") == F.col("w")).select("id", "first")
+
+
+def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` without those that near fingerprints or a Jaccard similarity of 0.8 link to a smaller id."""
+    near = cluster_documents(docs.select(doc_id, text), THRESHOLD, text, doc_id).select(F.col("component_id").alias("a"), F.col(doc_id).alias("b"))
+    alike = similar_documents(docs, text, doc_id).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    groups = components(near.filter("a is not null and b is not null").union(alike))
+    gone = groups.filter("node <> root").select(F.col("node").alias("gone_id")).distinct()
+    return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")

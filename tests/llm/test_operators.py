@@ -246,3 +246,19 @@ def test_short_lines(spark):
     data = [(1, "all rights reserved.\nok\n\n \t\none"), (2, "All rights reserved.\n\n \t\nok\ntwo"), (3, "three\n ok \nall rights reserved")]
     out = fl.drop_lines(spark.createDataFrame(data, "doc_id long, text string"))
     assert {x.doc_id: x.text for x in out.collect()} == {1: data[0][1], 2: "\n \t\ntwo", 3: "three"}
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    def changed(t, n):
+        w = t.split(" ")
+        for k in range(n):
+            w[10 + 14 * k] = f"changed{k}"
+        return " ".join(w)
+
+    base = [text(7000 + i, 200) for i in range(40)]
+    data = [(i, base[i]) for i in range(40)] + [(100 + i, changed(base[i], 2 + i % 3)) for i in range(40)] + [(200, changed(base[0], 12)), (None, base[1]), (201, None), (202, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert {r.doc_id for r in got} == {*range(40), 200, None, 201}
