@@ -38,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("simhash_dedup", near_copies), ("decontamination", decontaminate), ("pieces", encode)]
-#: MinHash lines and latent retrieval can't be said in SQL; tests hold the stages against brute force.
+#: MinHash lines and latent retrieval can't be said in SQL. Tests plant near copies for that stage; the others are tested as operators only.
 ORACLE_SQL = None
 
 
