@@ -5,21 +5,24 @@ shingles have a Jaccard similarity of THRESHOLD or more, are linked; of each com
 id, then line number) stays, all others are removed from their documents. A line shorter than
 a shingle is its own only shingle. Blank lines are never touched.
 
-1. Distinct lines meet by a 64-bit hash. Each shingle is hashed once; the j-th signature value is the minimum of these hashes
-   after XOR with the j-th constant, which ranks the shingles by closeness to that constant. Blocks of BLOCK
-   shingles go through generated code in one row.
+1. Equal lines are combined before and after one shuffle. Each shingle of a distinct line is hashed once; the j-th signature
+   value is the minimum of these hashes after XOR with the j-th constant, which ranks the shingles by closeness to that
+   constant. Blocks of BLOCK shingles go through generated code in one row.
 2. BANDS bands of ROWS values are bucket keys: a pair at the threshold shares a bucket with probability
-   1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997, more similar pairs with more.
-3. In each bucket the first PIVOTS lines are compared with all others: by sketches of their signatures, then by the exact Jaccard
-   similarity of their whole shingle sets; no pair is checked twice. Buckets that are not one component by then go on with the next
+   1 - (1 - 0.8 ** ROWS) ** BANDS = 0.991, more similar pairs with more; unrelated lines (similarity under 0.1) hardly ever meet.
+3. In each bucket the first PIVOTS lines are compared with all others. A pair first has to pass an exact bound: the odd sketches of two sets
+   (one bit flipped for each shingle) differ in no more bits than the sets differ in shingles, so a pair whose sketches differ in more than
+   (1 - t) / (1 + t) of both sizes is not similar, and no similar pair is lost. What is left is checked by the Jaccard
+   similarity of the whole shingle sets; no pair is checked twice. Buckets that are not one component by then go on with the next
    lines as pivots, GROWTH times as many each time, until every pair of a bucket is compared or connected.
 4. Connected components of the verified links decide.
 
 A bitmap of fixed size (FILTER_BITS) is broadcast to leave rows out of later shuffles that can't match; as it
-fills up it lets more rows pass, never too few.
+fills up it lets more rows pass, never too few. Lines are known by 64-bit hashes between the steps.
 
-Defined results: null text stays null and has no lines; rows equal in id and text are one document; a null id
-counts as largest; an empty table gives no rows; other columns come back untouched.
+Defined results: null text stays null and has no lines; empty and blank texts lose nothing; lines and texts of any length are read whole; a tie
+(equal lines of one document) keeps the smaller line number; rows equal in id and text are one document; a null id
+counts as largest; an empty table gives no rows; ``drop_lines`` returns all input columns untouched but the text, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,40 +33,54 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._graph import components
-from ._shared import let, materialise, partitions_for
+from ._shared import let, materialise
 
-MIN_CHARS, SHINGLE, THRESHOLD = 1, 5, 0.8
-ROWS, BANDS, BLOCK, AGREE = 3, 8, 8, 12
-PIVOTS, GROWTH = 1, 8
+SHINGLE, THRESHOLD = 5, 0.8
+ROWS, BANDS, BLOCK = 5, 12, 16
+SKETCH_WORDS = 16  # of 64 bits
+PIVOTS, GROWTH = 1, 32
 FILTER_BITS = 1 << 23
 LAST_ID = 2**63 - 1
 CONSTANTS = [int.from_bytes(hashlib.sha256(b"minhash %d" % j).digest()[:8], "big", signed=True) for j in range(ROWS * BANDS)]
 
 
+def document_key(text: str, doc_id: str) -> list[Column]:
+    """(doc, dk): the id, largest for null, and a hash that tells rows of one id apart."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(doc_id, text).alias("dk")]
+
+
 def line_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc, dk, line_no, line, h): all lines that take part; ``dk`` is the key of the document, ``h`` of the line."""
-    df = docs.filter(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(doc_id, text).alias("dk"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
-    df = df.select("doc", "dk", "line_no", F.lower(F.trim("raw")).alias("line")).filter((F.length("line") >= MIN_CHARS) & F.col("line").rlike("[^ \\t-\\r]"))
-    return df.withColumn("h", F.xxhash64("line"))
+    """(doc, dk, line_no, line): all lines that take part."""
+    df = docs.filter(F.col(text).isNotNull()).select(*document_key(text, doc_id), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw"))
+    return df.select("doc", "dk", "line_no", F.lower(F.trim("raw")).alias("line")).filter(F.col("line").rlike("[^ \\t-\\r]"))
+
+
+def line_hash() -> Column:
+    return F.xxhash64("line").alias("h")
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
-    """(h, code): one row for each line, dealt by ``h``; code is UTF-16, so that a shingle is a slice."""
-    dealt = rows.select("h", "line").repartition(partitions_for(rows), "h")
-    first = dealt.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("h"))).filter("k = 1")
-    return first.select("h", F.encode("line", "UTF-16BE").alias("code"))
+    """(line, code): each line once; code is UTF-16, so that a shingle is a slice. Equal lines are combined before the shuffle."""
+    return rows.select("line").distinct().select("line", F.encode("line", "UTF-16BE").alias("code"))
+
+
+def minima(values: list[Column]) -> list[Column]:
+    """Aggregates m0, m1, ...: for each constant the smallest value after XOR with it, over rows that hold several values each."""
+    least = lambda x: F.least(*x) if len(x) > 1 else x[0]
+    return [F.min(least([v.bitwiseXOR(F.lit(c)) for v in values])).alias(f"m{j}") for j, c in enumerate(CONSTANTS)]
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(h, m0, m1, ...): the minima of each line."""
+    """(h, m0, m1, ...): the minima of each of the distinct ``lines`` (line, code)."""
     last = F.greatest(F.octet_length("code") / 2 - SHINGLE, F.lit(0)).cast("int")
-    blocks = lines.select("h", "code", last.alias("last")).select("h", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(BLOCK))).alias("p"))
-    hashes = blocks.select("h", *[F.xxhash64(F.substr("code", F.least(F.col("p") + j, F.col("last")) * 2 + 1, F.lit(2 * SHINGLE))).alias(f"x{j}") for j in range(BLOCK)])
-    return hashes.groupBy("h").agg(*[F.min(F.least(*[F.col(f"x{k}").bitwiseXOR(F.lit(c)) for k in range(BLOCK)])).alias(f"m{j}") for j, c in enumerate(CONSTANTS)])
+    blocks = lines.select("line", "code", last.alias("last")).select("line", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(BLOCK))).alias("p"))
+    hashes = blocks.select("line", *[F.xxhash64(F.substr("code", F.least(F.col("p") + j, F.col("last")) * 2 + 1, F.lit(2 * SHINGLE))).alias(f"x{j}") for j in range(BLOCK)])
+    signed = hashes.groupBy("line").agg(*minima([F.col(f"x{k}") for k in range(BLOCK)]))
+    return signed.select(line_hash(), *[f"m{j}" for j in range(len(CONSTANTS))])
 
 
 def buckets(signed: DataFrame) -> DataFrame:
-    """(key, h, rank) from signatures: the lines of each bucket with two or more, numbered from 0."""
+    """(key, h, rank) from signatures: the members of each bucket with two or more, numbered from 0."""
     keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     rows = signed.select("h", F.explode(F.array(*keys)).alias("key"))
     order = Window.partitionBy("key").orderBy("h")
@@ -81,27 +98,18 @@ def shingles(code: Column) -> Column:
     return let(code, of)
 
 
-def sketch(values: list[Column]) -> Column:
-    """The last byte of each signature value, eight to a long."""
-    packed = lambda some: reduce(Column.bitwiseOR, [F.shiftleft(v.bitwiseAND(F.lit(255)), 8 * k) for k, v in enumerate(some)])
-    return F.struct(*[packed(values[i : i + 8]).alias(f"s{i // 8}") for i in range(0, len(values), 8)])
-
-
-def differing(x: Column, y: Column) -> Column:
-    """Number of bytes in which two longs differ."""
-    z = x.bitwiseXOR(y)
-    for n in (4, 2, 1):
-        z = z.bitwiseOR(F.shiftrightunsigned(z, n))
-    return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
-
+def sketched(sets: DataFrame) -> DataFrame:
+    """(h, n, s): size and odd sketch of each of ``sets`` (h, x), whose x is an array of distinct longs."""
+    rows = sets.select("h", F.explode("x").alias("v"))
+    rows = rows.select("h", F.shiftrightunsigned("v", 6).bitwiseAND(F.lit(SKETCH_WORDS - 1)).alias("word"), F.expr("shiftleft(1L, int(v & 63))").alias("bit"))
+    words = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(SKETCH_WORDS)]
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *words).select("h", "n", F.struct(*[f"s{k}" for k in range(SKETCH_WORDS)]).alias("s"))
 
-def may_be_alike(a: str, b: str) -> Column:
-    """Whether the sketches agree in AGREE values or more.
 
-    A pair at the threshold agrees in 19 values on average. Different values with one last byte count as equal, so no pair is lost by that.
-    """
-    apart = sum(differing(F.col(f"{a}.s{k}"), F.col(f"{b}.s{k}")) for k in range(len(CONSTANTS) // 8))
-    return apart <= len(CONSTANTS) - AGREE
+def may_be_alike(a: str, an: str, b: str, bn: str) -> Column:
+    """False only for pairs below the threshold: sketches can't differ in more bits than the sets do in members."""
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SKETCH_WORDS)])
+    return (1 + THRESHOLD) * apart <= (1 - THRESHOLD) * (F.col(an) + F.col(bn)) + 1e-6
 
 
 def verified(pairs: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
@@ -128,21 +136,21 @@ def may_hold(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFr
 def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(node, root): the component of each line hash that is linked to another."""
     members = materialise(buckets(signatures(distinct_lines(line_rows(docs, text, doc_id)))))
-    rows = may_hold(line_rows(docs, text, doc_id).select("h", "line"), "h", members, "h").filter("_may").select("h", "line")
-    found = distinct_lines(rows)
-    signed = signatures(found).select("h", sketch([F.col(f"m{j}") for j in range(len(CONSTANTS))]).alias("s"))
-    return linked(members, materialise(found.join(signed, "h")))
+    rows = may_hold(line_rows(docs, text, doc_id).select("line", line_hash()), "h", members, "h").filter("_may")
+    lines = distinct_lines(rows).select(line_hash(), "code").join(members.select("h").distinct(), "h", "left_semi")
+    return linked(members, lines)
 
 
 def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
-    """(node, root) from the buckets ``members`` (key, h, rank) and ``lines`` (h, code, sketch s)."""
+    """(node, root) from the buckets ``members`` (key, h, rank) and ``lines`` (h, code), whose ``sets`` are compared."""
+    lines = materialise(lines)
+    sketches = sketched(lines.select("h", sets(F.col("code")).alias("x")))
     # one label for each line so far; links found later join labels
-    members = members.join(lines.select("h", "s"), "h").select("key", "h", "rank", "s")
-    left, lo, hi = materialise(members.withColumn("root", F.col("h"))), 0, PIVOTS
-    members, tested = left.drop("root"), None
+    members = materialise(members.join(sketches, "h").select("key", "h", "rank", "n", "s"))
+    left, tested, lo, hi = members.withColumn("root", F.col("h")), None, 0, PIVOTS
     while True:
-        pivots = left.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select(F.col("key").alias("pk"), F.col("h").alias("ph"), F.col("root").alias("pr"), F.col("rank").alias("pn"), F.col("s").alias("ps"))
-        meet = (F.col("key") == F.col("pk")) & (F.col("rank") > F.col("pn")) & (F.col("root") != F.col("pr")) & may_be_alike("s", "ps")
+        pivots = left.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select(F.col("key").alias("pk"), F.col("h").alias("ph"), F.col("root").alias("pr"), F.col("rank").alias("pr_rank"), F.col("n").alias("pn"), F.col("s").alias("ps"))
+        meet = (F.col("key") == F.col("pk")) & (F.col("rank") > F.col("pr_rank")) & (F.col("root") != F.col("pr")) & may_be_alike("s", "n", "ps", "pn")
         pairs = left.join(pivots, meet).select(F.least("ph", "h").alias("a"), F.greatest("ph", "h").alias("b")).distinct()
         if tested is not None:  # two lines may meet in several buckets
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -150,23 +158,24 @@ def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
         tested = materialise(more if tested is None else tested.union(more))
         groups = components(tested.filter("same"))
         # buckets that hold lines that have not been pivots, and more than one component
-        left = members.join(members.filter(F.col("rank") == hi).select("key"), "key")
-        left = left.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", "s", F.coalesce("root", "h").alias("root"))
+        left = members.join(members.filter(F.col("rank") == hi).select("key"), "key", "left_semi")
+        left = left.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", "n", "s", F.coalesce("root", "h").alias("root"))
         split = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-        left = materialise(left.join(split, "key"))
+        left = materialise(left.join(split, "key", "left_semi"))
         if not left.limit(1).count():
             return groups
         lo, hi = hi, hi * GROWTH
 
 
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(dk, gone): the numbers of the lines that each document loses, for documents that lose any."""
+    """(doc, dk, gone): the numbers of the lines that each document loses, for documents that lose any."""
     groups = line_components(docs, text, doc_id)
-    rows = line_rows(docs, text, doc_id).select("h", "doc", "dk", "line_no").distinct()
+    rows = line_rows(docs, text, doc_id).select("doc", "dk", "line_no", line_hash())
     rows = rows.join(groups, F.col("h") == F.col("node"), "left").select(F.coalesce("root", "h").alias("c"), F.struct("doc", "dk", "line_no").alias("at"))
-    first = rows.groupBy("c").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").select("c", "first")
+    first = rows.groupBy("c").agg(F.min("at").alias("first"), F.count("*").alias("times")).filter("times > 1").select("c", "first")
     gone = rows.join(first, "c").filter(F.col("at") != F.col("first"))
-    return gone.groupBy(F.col("at.dk").alias("dk")).agg(F.sort_array(F.collect_list("at.line_no")).alias("gone"))
+    # repeated rows name their lines more than once
+    return gone.groupBy(F.col("at.doc").alias("doc"), F.col("at.dk").alias("dk")).agg(F.sort_array(F.collect_set("at.line_no")).alias("gone"))
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -176,11 +185,11 @@ def without(text: Column, gone: Column) -> Column:
 
 def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the removed lines cut from ``text``; documents that lose nothing take no part in the last join."""
-    gone = materialise(removals(docs, text, doc_id))
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("k"))
-    rows = may_hold(rows, "k", gone, "dk")
+    gone = materialise(removals(docs, text, doc_id).withColumnRenamed("doc", "gone_doc").withColumnRenamed("dk", "gone_dk"))
+    rows = docs.select(F.struct("*").alias("row"), *document_key(text, doc_id))
+    rows = may_hold(rows, "dk", gone, "gone_dk")
     back = lambda new: [F.col("row")[c].alias(c) if c != text else new.alias(text) for c in docs.columns]
-    hit = rows.filter(F.col("_may") & F.col("row")[text].isNotNull()).join(gone, F.col("k") == F.col("dk"), "left")
+    hit = rows.filter(F.col("_may") & F.col("row")[text].isNotNull()).join(gone, (F.col("dk") == F.col("gone_dk")) & (F.col("doc") == F.col("gone_doc")), "left")
     hit = hit.select(*back(F.when(F.col("gone").isNull(), F.col("row")[text]).otherwise(without(F.col("row")[text], F.col("gone")))))
     return hit.unionByName(rows.filter(~F.col("_may") | F.col("row")[text].isNull()).select(*back(F.col("row")[text])))
 
@@ -188,6 +197,6 @@ def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 def count_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers (from 0) of the removed lines of each row."""
     gone = removals(docs, text, doc_id)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("k"), F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    out = rows.join(gone, F.col("k") == F.col("dk"), "left")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *document_key(text, doc_id), F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
+    out = rows.join(gone, ["doc", "dk"], "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))
