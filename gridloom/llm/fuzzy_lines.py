@@ -88,14 +88,14 @@ def buckets(signed: DataFrame) -> DataFrame:
     return ranked.filter("rank > 0 or next is not null").select("key", "h", "rank")
 
 
-def shingles(code: Column) -> Column:
-    """The set of a line's shingles, hashed. The line is bound first: reading a binary column copies it."""
+def shingles(line: Column) -> Column:
+    """The set of a line's shingles, hashed. The UTF-16 code is bound first: reading a binary column copies it."""
 
     def of(c: Column) -> Column:
         last = F.greatest(F.octet_length(c) / 2 - SHINGLE, F.lit(0)).cast("int")
         return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(c, i * 2 + 1, F.lit(2 * SHINGLE)))))
 
-    return let(code, of)
+    return let(F.encode(line, "UTF-16BE"), of)
 
 
 def sketched(sets: DataFrame) -> DataFrame:
@@ -114,7 +114,10 @@ def may_be_alike(a: str, an: str, b: str, bn: str) -> Column:
 
 def verified(pairs: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
     """The ``pairs`` (a, b) of ``lines`` (h, code) with the column ``same``: whether the ``sets`` of their codes are similar enough."""
-    coded = lambda k: lines.select(F.col("h").alias(k), F.col("code").alias(f"c{k}"))
+    pairs = materialise(pairs)
+    named = pairs.select(F.explode(F.array("a", "b")).alias("x"))
+    some = may_hold(lines, "h", named, "x").filter("_may")
+    coded = lambda k: some.select(F.col("h").alias(k), F.col("code").alias(f"c{k}"))
     got = pairs.join(coded("a"), "a").join(coded("b"), "b")
     enough = lambda x, y, n: n >= THRESHOLD * (F.size(x) + F.size(y) - n)
     # bound, as the sets would else be evaluated once for each mention
@@ -137,18 +140,18 @@ def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """(node, root): the component of each line hash that is linked to another."""
     members = materialise(buckets(signatures(distinct_lines(line_rows(docs, text, doc_id)))))
     rows = may_hold(line_rows(docs, text, doc_id).select("line", line_hash()), "h", members, "h").filter("_may")
-    lines = distinct_lines(rows).select(line_hash(), "code").join(members.select("h").distinct(), "h", "left_semi")
+    lines = distinct_lines(rows).select(line_hash(), F.col("line").alias("code")).join(members.select("h").distinct(), "h", "left_semi")
     return linked(members, lines)
 
 
 def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
     """(node, root) from the buckets ``members`` (key, h, rank) and ``lines`` (h, code), whose ``sets`` are compared."""
     lines = materialise(lines)
-    sketches = sketched(lines.select("h", sets(F.col("code")).alias("x")))
+    sketches = materialise(sketched(lines.select("h", sets(F.col("code")).alias("x"))))
     # one label for each line so far; links found later join labels
-    members = materialise(members.join(sketches, "h").select("key", "h", "rank", "n", "s"))
-    left, tested, lo, hi = members.withColumn("root", F.col("h")), None, 0, PIVOTS
+    live, tested, lo, hi = members.withColumn("root", F.col("h")), None, 0, PIVOTS
     while True:
+        left = materialise(live.join(sketches, "h"))
         pivots = left.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select(F.col("key").alias("pk"), F.col("h").alias("ph"), F.col("root").alias("pr"), F.col("rank").alias("pr_rank"), F.col("n").alias("pn"), F.col("s").alias("ps"))
         meet = (F.col("key") == F.col("pk")) & (F.col("rank") > F.col("pr_rank")) & (F.col("root") != F.col("pr")) & may_be_alike("s", "n", "ps", "pn")
         pairs = left.join(pivots, meet).select(F.least("ph", "h").alias("a"), F.greatest("ph", "h").alias("b")).distinct()
@@ -158,11 +161,11 @@ def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
         tested = materialise(more if tested is None else tested.union(more))
         groups = components(tested.filter("same"))
         # buckets that hold lines that have not been pivots, and more than one component
-        left = members.join(members.filter(F.col("rank") == hi).select("key"), "key", "left_semi")
-        left = left.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", "n", "s", F.coalesce("root", "h").alias("root"))
-        split = left.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-        left = materialise(left.join(split, "key", "left_semi"))
-        if not left.limit(1).count():
+        live = left.select("key", "h", "rank").join(left.filter(F.col("rank") == hi).select("key"), "key", "left_semi")
+        live = live.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", F.coalesce("root", "h").alias("root"))
+        split = live.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+        live = materialise(live.join(split, "key", "left_semi"))
+        if not live.limit(1).count():
             return groups
         lo, hi = hi, hi * GROWTH
 

@@ -167,7 +167,7 @@ def test_suffixes(docs, none):
 def test_lines(docs, none):
     out = fl.drop_lines(docs)
     assert out.columns == docs.columns and out.count() == len(rows()) and fl.drop_lines(none).count() == 0
-    lines = [x for r in out.collect() if r.text is not None for x in r.text.split("\n") if len(x) >= fl.MIN_CHARS]
+    lines = [x for r in out.collect() if r.text is not None for x in r.text.split("\n") if x.strip(" \t")]
     sets = [{x[i : i + fl.SHINGLE] for i in range(max(1, len(x) - fl.SHINGLE + 1))} for x in lines]
     again = [(i, j) for i in range(len(sets)) for j in range(i) if lines[i] != lines[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert not again
