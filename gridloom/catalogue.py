@@ -5,11 +5,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import uuid
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gridloom.checkpoints import folder, materialise
 from gridloom.functions import lattice as la
-from gridloom.operators import frames as fr, plates as pl, pooling as po
+from gridloom.operators import blocks as bl, frames as fr, plates as pl, pooling as po
 from gridloom.plans.layout import ArraySpec, Dimension, Layout, levels, memory_estimate
+from gridloom.sources import store
 
 D = Dimension
 VOLUMES = ArraySpec("volumes", "uint16", (D("t", "time", 0, 2, 2), D("z", "space", 5, 2, 2), D("y", "space", 20, 8, 2), D("x", "space", 25, 8, 2)), method="mean")
@@ -109,9 +115,39 @@ def embedding_pool(method: str):
     return lambda spark, sf: po.pool_floats(embedding_pixels(spark, sf), [], method).withColumn("v", F.col("v").cast("double"))
 
 
+#: Corners of 2 x 2 floats in their order, a missing one replaced by the edge; all values are numbers here.
+CORNERS_SQL = """e AS (SELECT vec_id AS y, unnest(range(0, 64)) AS x, unnest(embedding) AS v FROM embeddings),
+q AS (SELECT y // 2 AS y, x // 2 AS x, max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN v END) AS a, max(CASE WHEN y % 2 = 0 AND x % 2 = 1 THEN v END) AS b,
+  max(CASE WHEN y % 2 = 1 AND x % 2 = 0 THEN v END) AS c, max(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN v END) AS d FROM e GROUP BY ALL),
+k AS (SELECT y, x, a, coalesce(b, a) AS b, coalesce(c, a) AS c, coalesce(d, c, b, a) AS d FROM q)"""
+
+
 def embedding_pool_sql(method: str) -> str:
-    return f"""WITH e AS (SELECT vec_id AS y, unnest(range(0, 64)) AS x, unnest(embedding) AS v FROM embeddings)
-SELECT y // 2 AS y, x // 2 AS x, CAST({method}(v) AS DOUBLE) AS v FROM e GROUP BY ALL"""
+    how = {"min": "least(a, b, c, d)", "max": "greatest(a, b, c, d)", "decimate": "a", "mean": "CAST((a + b + c + d) / 4 AS FLOAT)"}[method]
+    return f"WITH {CORNERS_SQL} SELECT y, x, CAST({how} AS DOUBLE) AS v FROM k"
+
+
+def float_volumes(method: str):
+    """Embeddings as volumes of five planes of 20 x 64 floats: each level halves all three axes."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        i = F.col("y")
+        p = embedding_pixels(spark, sf).select(la.div(i, 100).alias("t"), (i % 5).alias("z"), la.div(i % 100, 5).alias("y"), "x", "v")
+        return po.pool_z(po.pool_xy(p, ["t", "z"], HEIGHT, 64, method), ["t"], DEPTH, method).withColumn("v", F.col("v").cast("double"))
+
+    return run
+
+
+def float_volumes_sql(method: str) -> str:
+    flat = {"min": "least(a, b, c, d)", "max": "greatest(a, b, c, d)", "mean": "CAST((a + b + c + d) / 4 AS FLOAT)"}[method]
+    deep = {"min": "least(p, q)", "max": "greatest(p, q)", "mean": "CAST((p + q) / 2 AS FLOAT)"}[method]
+    return f"""WITH e AS (SELECT vec_id AS i, unnest(range(0, 64)) AS x, unnest(embedding) AS v FROM embeddings),
+s AS (SELECT i // 100 AS t, i % 5 AS z, i % 100 // 5 AS y, x, v FROM e),
+q AS (SELECT t, z, y // 2 AS y, x // 2 AS x, max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN v END) AS a, max(CASE WHEN y % 2 = 0 AND x % 2 = 1 THEN v END) AS b,
+  max(CASE WHEN y % 2 = 1 AND x % 2 = 0 THEN v END) AS c, max(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN v END) AS d FROM s GROUP BY ALL),
+f AS (SELECT t, z, y, x, {flat} AS v FROM (SELECT t, z, y, x, a, coalesce(b, a) AS b, coalesce(c, a) AS c, coalesce(d, c, b, a) AS d FROM q)),
+g AS (SELECT t, z // 2 AS z, y, x, max(CASE WHEN z % 2 = 0 THEN v END) AS p, max(CASE WHEN z % 2 = 1 THEN v END) AS q FROM f GROUP BY ALL)
+SELECT t, z, y, x, CAST(CASE WHEN q IS NULL THEN p ELSE {deep} END AS DOUBLE) AS v FROM g WHERE q IS NOT NULL OR z = 2"""
 
 
 def frames_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,8 +165,97 @@ def transpose(spark: SparkSession, sf: str) -> DataFrame:
     return frames_of(spark, sf).select("frame", la.transposed(Layout(PERMUTED), f).alias("stored"), "total")
 
 
+SWAPPED = ArraySpec("swapped", "uint16", (D("t", "time", 0, 1, 1), D("y", "space", 20, 20, 1), D("x", "space", 25, 25, 1)), order=(0, 2, 1))
+
+
 def swap_xy(spark: SparkSession, sf: str) -> DataFrame:
-    return pixels(spark, sf).select("frame", F.col("x").alias("y"), F.col("y").alias("x"), "v")
+    """Frames stored with rows and columns exchanged, read pixel by pixel."""
+
+    def run(batches):
+        for batch in batches:
+            for frame, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                image = np.frombuffer(data, "<u2").reshape(WIDTH, HEIGHT)
+                y, x = np.divmod(np.arange(image.size), HEIGHT)
+                yield pa.RecordBatch.from_arrays([pa.array([frame] * image.size, pa.int64()), pa.array(y), pa.array(x), pa.array(image.ravel().astype(np.int64))], ["frame", "y", "x", "v"])
+
+    return bl.stored_frames(frame_blocks(spark, sf), SWAPPED).mapInArrow(run, "frame long, y long, x long, v long")
+
+
+MOVED = ArraySpec("moved", "uint16", (D("t", "time", 0, 2, 1), D("c", "channel", 2, 1, 2), D("z", "space", 5, 2, 2), D("y", "space", 20, 8, 2), D("x", "space", 25, 8, 2)), order=(0, 2, 1, 4, 3), compressor="zstd")
+
+
+def frame_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """(frame_id, data): the frames of events as little-endian 16-bit planes, complete ones."""
+    two = lambda v: F.concat(F.lpad(F.hex(v.bitwiseAND(255)), 2, "0"), F.lpad(F.hex(F.shiftright(v, 8).bitwiseAND(255)), 2, "0"))
+    whole = pixels(spark, sf).groupBy("frame").agg(F.sort_array(F.collect_list(F.struct((F.col("y") * WIDTH + F.col("x")).alias("at"), "v"))).alias("p")).filter(F.size("p") == HEIGHT * WIDTH)
+    return whole.select(F.col("frame").alias("frame_id"), F.unhex(F.array_join(F.transform("p", lambda x: two(x["v"])), "")).alias("data"))
+
+
+def chunk_facts(chunks: DataFrame, kind: str) -> DataFrame:
+    """(path, slot, nonzero, total, most, placed) of chunks; ``placed`` weighs each pixel by its place in the chunk."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, slot, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v = np.frombuffer(data, kind).astype(np.int64)
+                rows.append((path, slot, int((v != 0).sum()), int(v.sum()), int(v.max()), int((v * np.arange(1, len(v) + 1)).sum())))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], ["path", "slot", "nonzero", "total", "most", "placed"])
+
+    return chunks.filter("data is not null").select("path", F.col("slot").cast("long").alias("slot"), "data").mapInArrow(run, "path string, slot long, nonzero long, total long, most long, placed long")
+
+
+def moved_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of an array whose storage order differs from the acquisition's in all axes that may move."""
+    return chunk_facts(bl.chunk_blocks(frame_blocks(spark, sf), MOVED), "<u2")
+
+
+def store_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The same array written to a store and read back."""
+    root = f"{folder(spark)}/store-{uuid.uuid4().hex}"
+    materialise(store.write_array(frame_blocks(spark, sf), MOVED, root))
+    return chunk_facts(store.read_chunks(spark, MOVED, root), "<u2")
+
+
+MOVED_SQL = f"""WITH {PIX}, w AS (SELECT frame FROM pix GROUP BY frame HAVING count(*) = 500),
+p AS (SELECT frame // 10 AS t, frame // 5 % 2 AS c, frame % 5 AS z, y, x, v FROM pix JOIN w USING (frame)),
+k AS (SELECT 'c/' || (t // 2) || '/' || (z // 4) || '/0/' || (x // 16) || '/' || (y // 16) AS path, (((z // 2 % 2) * 2 + c) * 2 + x // 8 % 2) * 2 + y // 8 % 2 AS slot,
+  ((t % 2) * 2 + z % 2) * 64 + x % 8 * 8 + y % 8 + 1 AS place, v FROM p)
+SELECT path, slot, count(*) FILTER (WHERE v <> 0) AS nonzero, CAST(sum(v) AS BIGINT) AS total, max(v) AS most, CAST(sum(v * place) AS BIGINT) AS placed FROM k GROUP BY ALL HAVING max(v) > 0"""
+
+
+def block_pyramid(method: str):
+    """Levels of SCALED pooled frame by frame: (level, frame, total, least, most)."""
+    import dataclasses
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        plans = levels(dataclasses.replace(SCALED, dtype="uint16", method=method))
+        now, out = frame_blocks(spark, sf), None
+        for k, plan in enumerate(plans):
+            if k:
+                now = materialise(bl.next_level(now, plans[k - 1], plan))
+            one = frame_facts(now).withColumn("level", F.lit(k))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    return run
+
+
+def frame_facts(frames: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            planes = [np.frombuffer(d, "<u2").astype(np.int64) for d in batch.column(1).to_pylist()]
+            if planes:
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([int(f(p)) for p in planes], pa.int64()) for f in (np.sum, np.min, np.max))], ["frame", "total", "least", "most"])
+
+    return frames.mapInArrow(run, "frame long, total long, least long, most long")
+
+
+def block_pyramid_sql(method: str) -> str:
+    """The long-form levels, put together by frame: there are 5, 3 and 2 planes a volume."""
+    whole = pyramid_sql(method).replace("event_type FROM events)", "event_type FROM events WHERE event_id // 500 < (SELECT count(*) // 500 FROM events))")
+    return f"SELECT level, t * CASE level WHEN 0 THEN 5 WHEN 1 THEN 3 ELSE 2 END + z AS frame, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most FROM ({whole}) GROUP BY ALL"
 
 
 CHUNK_SQL = f"""{PIX}, c AS (SELECT *, ((frame // 10 * 3 + frame % 5 // 2) * 3 + y // 8) * 4 + x // 8 AS chunk FROM pix)"""
@@ -173,10 +298,10 @@ def gap_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zero_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """The array has 40 frames, or as many as the table has if these are more."""
+    """All frames that the table has, with every third one skipped."""
     f = frames_of(spark, sf)
     last = f.agg(F.max("frame")).first()[0]
-    return fr.zero_filled(f.filter("frame % 3 <> 1"), max(40, (-1 if last is None else last) + 1), "frame", "total")
+    return fr.zero_filled(f.filter("frame % 3 <> 1"), 0 if last is None else last + 1, "frame", "total")
 
 
 def bounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,16 +315,48 @@ def residue(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_type", "bytes", whole.alias("frames"), rest.alias("rest"))
 
 
+def array_specs(spark: SparkSession) -> DataFrame:
+    """Three arrays with the frames that each has room for."""
+    return spark.createDataFrame([("click", 3), ("view", 5), ("purchase", 2)], "array_key string, room long")
+
+
+def typed_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Each type's events, 500 a frame."""
+    e = fr.numbered(table(spark, sf, "events").select(F.col("event_type").alias("array_key"), "event_id", F.round(F.col("value") * 100).cast("long").alias("v")), "array_key", "event_id")
+    return e.groupBy("array_key", la.div(F.col("place"), 500).alias("frame")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
 def routes(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    e = e.select("event_type", la.div(place.cast("long"), 500).alias("frame"), F.round(F.col("value") * 100).cast("long").alias("v"))
-    return e.groupBy("event_type", "frame").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    """Frames of known arrays, with the room of their array."""
+    return fr.routed(typed_frames(spark, sf), array_specs(spark))
+
+
+def unknown_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return fr.unknown_keys(typed_frames(spark, sf), array_specs(spark))
+
+
+def size_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as frames of 2000 bytes: those of another size."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("frame_id"), F.encode("html", "UTF-8").alias("data"))
+    return fr.size_faults(p, 2000).select("frame_id", F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+def overflow(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' appends to an array of 500 bytes each."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("array_key"), F.col("event_id").alias("seq"), F.octet_length("props").cast("long").alias("n_bytes"))
+    return fr.overflows(e, 500)
+
+
+def flush_layers(spark: SparkSession, sf: str) -> DataFrame:
+    f = F.col("frame")
+    banded = Layout(ArraySpec("b", "uint16", (D("t", "time", 0, 1, 1), D("z", "space", 5, 2, 2), D("y", "space", 20, 8, 2), D("x", "space", 25, 8, 2))))
+    return frames_of(spark, sf).select("frame", la.chunk_layer(L, f).alias("chunk_layer"), la.shard_layer(L, f).alias("shard_layer"), la.band(banded, f).alias("band"))
 
 
 def append_shape(spark: SparkSession, sf: str) -> DataFrame:
     n = la.div(F.count("*") + 499, 500)
-    return table(spark, sf, "events").agg(n.alias("frames")).select("frames", la.div(F.col("frames") + 4, 5).alias("t"), F.lit(5).alias("z"), F.lit(20).alias("y"), F.lit(25).alias("x"))
+    t, z, y, x = la.shape_after(L, F.col("frames"))
+    return table(spark, sf, "events").agg(n.alias("frames")).select("frames", t.alias("t"), z.alias("z"), y.alias("y"), x.alias("x"))
 
 
 def memory(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,14 +377,17 @@ def plate_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     plate = F.lit("p").alias("plate")
     rows = regions.select(plate, F.col("r_name").alias("name"), F.col("r_regionkey").cast("int").alias("idx"))
     columns = nations.select(plate, F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("idx"))
-    wells = nations.join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey")).select(plate, F.col("r_name").alias("row_name"), F.col("n_name").alias("column_name"), "n_nationkey")
+    wells = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(plate, F.col("r_name").alias("row_name"), F.col("n_name").alias("column_name"), "n_nationkey")
     c = table(spark, sf, "customer")
-    fovs = c.join(F.broadcast(wells), F.col("c_nationkey") == F.col("n_nationkey")).select("plate", "row_name", "column_name", F.col("c_name").alias("path"), (F.col("c_custkey") % 7).cast("int").alias("acquisition_id"))
-    acquisitions = spark.range(6).select(plate, F.col("id").cast("int").alias("id"))
+    fovs = c.join(wells, F.col("c_nationkey") == F.col("n_nationkey")).select("plate", "row_name", "column_name", F.col("c_custkey").alias("ord"), F.col("c_name").alias("path"), (F.col("c_custkey") % 7).cast("int").alias("acquisition_id"))
+    acquisitions = spark.range(6).select(plate, F.col("id").cast("int").alias("id"), F.concat(F.lit("a"), "id").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("long").alias("start_time"), F.lit(None).cast("long").alias("end_time"))
     return {"rows": rows, "columns": columns, "wells": wells, "fovs": fovs, "acquisitions": acquisitions}
 
 
-FOV_SQL = """f AS (SELECT 'p' AS plate, r_name AS row_name, n_name AS column_name, c_name AS path, CAST(c_custkey % 7 AS INT) AS acquisition_id
+TYPED_SQL = """e AS (SELECT event_type AS array_key, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 500 AS frame, CAST(round(value * 100) AS BIGINT) AS v FROM events),
+g AS (SELECT array_key, frame, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM e GROUP BY ALL)"""
+
+FOV_SQL = """f AS (SELECT 'p' AS plate, r_name AS row_name, n_name AS column_name, c_custkey AS ord, c_name AS path, CAST(c_custkey % 7 AS INT) AS acquisition_id
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
@@ -251,23 +411,75 @@ def hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     return pl.group_paths(keys)
 
 
+def plate_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """What the plate's document says."""
+    p = plate_tables(spark, sf)
+    d = pl.plate_documents(p["wells"], p["rows"], p["columns"], p["fovs"], p["acquisitions"])
+    part = lambda x: F.get_json_object("document", f"$.attributes.ome.plate.{x}")
+    inside = F.from_json(part("acquisitions"), "array<struct<id:int,maximumfieldcount:long,name:string>>")
+    wells = F.from_json(part("wells"), "array<struct<path:string,rowIndex:int,columnIndex:int>>")
+    known = d.select("path", part("version").alias("version"), part("field_count").cast("long").alias("field_count"), F.from_json(part("rows"), "array<struct<name:string>>").alias("r"), wells.alias("w"), inside.alias("a"))
+    return known.select("path", "version", "field_count", F.array_join("r.name", ",").alias("row_names"), F.size("w").cast("long").alias("n_wells"), F.array_join(F.transform("w", lambda x: F.concat_ws(":", x["path"], x["rowIndex"], x["columnIndex"])), ",").alias("wells"), F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["id"], x["maximumfieldcount"], x["name"])), ",").alias("acquisitions"))
+
+
+def well_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The images that each well's document names."""
+    images = F.from_json(F.get_json_object("document", "$.attributes.ome.well.images"), "array<struct<path:string,acquisition:int>>")
+    d = pl.well_documents(plate_tables(spark, sf)["fovs"]).select("path", images.alias("i"))
+    return d.select("path", F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["path"], x["acquisition"])), ",").alias("images"))
+
+
+def misplaced_wells(spark: SparkSession, sf: str) -> DataFrame:
+    """Wells of a plate whose rows lack one region and whose columns lack every third nation."""
+    p = plate_tables(spark, sf)
+    return pl.unplaced_wells(p["wells"], p["rows"].filter("idx <> 2"), p["columns"].filter("idx % 3 <> 0"))
+
+
+def bad_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as column names, and some once more in lower case."""
+    names = plate_tables(spark, sf)["columns"].select("plate", "name")
+    return pl.name_faults(names.unionByName(names.filter("length(name) < 6").withColumn("name", F.lower("name"))))
+
+
+def twice_imaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Image paths named after market segments: most occur in a well more than once."""
+    p = plate_tables(spark, sf)["fovs"].withColumn("path", F.substring("path", -2, 2))
+    return pl.repeated_fields(p)
+
+
+def tree_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys made of nations and suppliers: nations of even keys are plain arrays, others have levels."""
+    n = table(spark, sf, "nation").select(F.concat(F.lit("k"), "n_nationkey").alias("array_key"), (F.col("n_nationkey") % 2 == 1).alias("multiscale"))
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("k"), "s_nationkey", F.lit("/"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey").cast("string")).when(F.col("s_suppkey") % 10 == 1, F.lit("zarr.json")).otherwise(F.concat(F.lit("s"), "s_suppkey"))).alias("array_key"), F.lit(False).alias("multiscale"))
+    return pl.tree_faults(n.unionByName(s))
+
+
+def group_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return pl.group_kinds(hierarchy(spark, sf), plate_tables(spark, sf)["wells"])
+
+
 def metadata_merge(spark: SparkSession, sf: str) -> DataFrame:
     """The last text of each role wins, as the last write of a metadata key does."""
-    c = table(spark, sf, "conversations")
-    return c.groupBy("conv_id", "role").agg(F.max_by("text", "turn").alias("value"))
+    c = table(spark, sf, "conversations").withColumnRenamed("text", "value")
+    return pl.merged_metadata(c, "conv_id", "role", "value", "turn", "value")
 
 
 def queries() -> dict:
     out = {f"pool2d_{m}": pool2d(m) for m in ("decimate", "mean", "min", "max")}
     out |= {f"pool3d_{m}": pool3d(m) for m in ("decimate", "mean", "min", "max")}
     out |= {f"pyramid_{m}": pyramid(m) for m in ("mean", "min", "max")}
-    out |= {f"embedding_pool_{m}": embedding_pool(m) for m in ("min", "max")}
+    out |= {f"embedding_pool_{m}": embedding_pool(m) for m in ("decimate", "mean", "min", "max")}
+    out |= {f"float_volumes_{m}": float_volumes(m) for m in ("mean", "min", "max")}
+    out |= {f"block_pyramid_{m}": block_pyramid(m) for m in ("mean", "min", "max")}
     return out | {
         "pyramid_levels": pyramid_levels, "frame_layout": frame_layout, "transpose_axes": transpose, "swap_xy": swap_xy, "chunk_stats": chunk_stats,
         "zero_chunks": zero_chunks, "shard_assignment": shards, "ragged_slots": ragged_slots, "frame_gap_check": gap_check, "skip_zero_fill": zero_fill,
         "bounds_check": bounds, "frame_residue": residue, "multi_array_routes": routes, "append_shape": append_shape, "memory_estimate": memory,
         "key_checks": key_checks, "plate_index": plate_index, "field_counts": field_counts, "acquisition_check": acquisition_check,
-        "group_paths": hierarchy, "metadata_merge": metadata_merge,
+        "group_paths": hierarchy, "metadata_merge": metadata_merge, "moved_chunks": moved_chunks, "store_round_trip": store_round_trip,
+        "unknown_arrays": unknown_arrays, "size_check": size_check, "append_overflow": overflow, "flush_layers": flush_layers,
+        "plate_documents": plate_documents, "well_documents": well_documents, "misplaced_wells": misplaced_wells, "bad_names": bad_names,
+        "twice_imaged": twice_imaged, "tree_check": tree_check, "group_kinds": group_kinds,
     }
 
 
@@ -276,29 +488,52 @@ def oracle_sql() -> dict[str, str]:
     out["pool2d_decimate"] = f"WITH {PIX} SELECT frame, y // 2 AS y, x // 2 AS x, v FROM pix WHERE y % 2 = 0 AND x % 2 = 0"
     out |= {f"pool3d_{m}": pool3d_sql(m) for m in ("decimate", "mean", "min", "max")}
     out |= {f"pyramid_{m}": pyramid_sql(m) for m in ("mean", "min", "max")}
-    out |= {f"embedding_pool_{m}": embedding_pool_sql(m) for m in ("min", "max")}
+    out |= {f"embedding_pool_{m}": embedding_pool_sql(m) for m in ("decimate", "mean", "min", "max")}
+    out |= {f"float_volumes_{m}": float_volumes_sql(m) for m in ("mean", "min", "max")}
+    out |= {f"block_pyramid_{m}": block_pyramid_sql(m) for m in ("mean", "min", "max")}
     frames = f"{PIX}, fs AS (SELECT frame, CAST(sum(v) AS BIGINT) AS total FROM pix GROUP BY frame)"
     well = "SELECT 'p' AS plate, r_name AS row_name, n_name AS column_name, CAST(r_regionkey AS INT) AS row_index, CAST(n_nationkey AS INT) AS column_index FROM nation JOIN region ON n_regionkey = r_regionkey"
     return out | {
         "pyramid_levels": "SELECT * FROM (VALUES (0, 5, 20, 25, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), (1, 3, 10, 13, 2.0, 2.0, 2.0), (2, 2, 5, 7, 4.0, 4.0, 4.0)) AS v(level, z, y, x, sz, sy, sx)",
         "frame_layout": f"WITH {frames} SELECT frame, frame // 5 AS t, frame % 5 AS z, frame // 10 AS lt, frame % 5 // 2 AS lz, frame % 5 // 2 * 12 AS tile, (frame % 5 % 2 + frame // 5 % 2 * 2) * 128 AS inside, total FROM fs",
         "transpose_axes": f"WITH {frames} SELECT frame, frame // 10 * 10 + frame % 5 * 2 + frame // 5 % 2 AS stored, total FROM fs",
-        "swap_xy": f"WITH {PIX} SELECT frame, x AS y, y AS x, v FROM pix",
+        "swap_xy": f"WITH {PIX}, w AS (SELECT frame FROM pix GROUP BY frame HAVING count(*) = 500) SELECT frame, x AS y, y AS x, v FROM pix JOIN w USING (frame)",
         "chunk_stats": f"WITH {CHUNK_SQL} SELECT chunk, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most, CAST(sum(CASE WHEN v <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS nonzero FROM c GROUP BY chunk",
         "zero_chunks": f"WITH {PIX}, m AS (SELECT frame, y, x // 4 AS cx, CASE WHEN event_type = 'click' THEN v ELSE 0 END AS v FROM pix) SELECT frame, y, cx, bool_or(v <> 0) AS stored, CAST(sum(v) AS BIGINT) AS total FROM m GROUP BY ALL",
         "shard_assignment": f"WITH {SHARD_SQL} SELECT chunk, shard, slot, path FROM s",
         "ragged_slots": f"WITH {SHARD_SQL} SELECT path, slot FROM (SELECT DISTINCT path FROM s), (SELECT unnest(range(0, 16)) AS slot) EXCEPT SELECT path, slot FROM s",
         "frame_gap_check": "WITH e AS (SELECT DISTINCT event_type AS array_key, event_id // 5 AS frame_id FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY array_key ORDER BY frame_id) - 1 AS expected FROM e) SELECT * FROM r WHERE frame_id <> expected",
-        "skip_zero_fill": f"WITH {frames} SELECT i AS frame, coalesce(total, 0) AS total FROM (SELECT unnest(range(0, 40)) AS i) LEFT JOIN (SELECT * FROM fs WHERE frame % 3 <> 1) ON i = frame",
+        "skip_zero_fill": f"WITH {frames} SELECT i AS frame, coalesce(total, 0) AS total FROM (SELECT unnest(range(0, (SELECT max(frame) + 1 FROM fs))) AS i) LEFT JOIN (SELECT * FROM fs WHERE frame % 3 <> 1) ON i = frame",
         "bounds_check": f"WITH {frames} SELECT frame, total FROM fs WHERE frame < 8",
         "frame_residue": "SELECT event_type, CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(sum(strlen(props)) // 1000 AS BIGINT) AS frames, CAST(sum(strlen(props)) % 1000 AS BIGINT) AS rest FROM events GROUP BY event_type",
-        "multi_array_routes": "WITH e AS (SELECT event_type, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 500 AS frame, CAST(round(value * 100) AS BIGINT) AS v FROM events) SELECT event_type, frame, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM e GROUP BY ALL",
-        "append_shape": "SELECT (count(*) + 499) // 500 AS frames, ((count(*) + 499) // 500 + 4) // 5 AS t, 5 AS z, 20 AS y, 25 AS x FROM events",
+        "multi_array_routes": f"WITH {TYPED_SQL} SELECT array_key, frame, n, total, room FROM g JOIN (VALUES ('click', 3), ('view', 5), ('purchase', 2)) AS s(array_key, room) USING (array_key)",
+        "unknown_arrays": f"WITH {TYPED_SQL} SELECT * FROM g WHERE array_key NOT IN ('click', 'view', 'purchase')",
+        "size_check": "SELECT page_id AS frame_id, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages WHERE html IS NULL OR strlen(html) <> 2000",
+        "append_overflow": "SELECT user_id AS array_key, event_id AS seq, CAST(strlen(props) AS BIGINT) AS n_bytes, sum(strlen(props)) OVER (PARTITION BY user_id ORDER BY event_id) <= 500 AS accepted FROM events",
+        "flush_layers": f"WITH {frames} SELECT frame, frame // 10 AS chunk_layer, frame // 20 AS shard_layer, frame % 5 // 2 AS band FROM fs",
+        "moved_chunks": MOVED_SQL,
+        "store_round_trip": MOVED_SQL,
+        "append_shape": "SELECT (count(*) + 499) // 500 AS frames, ((count(*) + 499) // 500 + 4) // 5 AS t, 5::BIGINT AS z, 20::BIGINT AS y, 25::BIGINT AS x FROM events",
         "memory_estimate": "SELECT * FROM (VALUES ('a', 3704832), ('b', 4726784)) AS v(spec, bytes)",
         "key_checks": "WITH k AS (SELECT page_id, ' /' || regexp_replace(url, '^https?://', '') || '// ' AS raw FROM pages), n AS (SELECT page_id, regexp_replace(regexp_replace(raw, '^[\\s/]+|[\\s/]+$', '', 'g'), '/+', '/', 'g') AS key FROM k) SELECT page_id, key, regexp_matches(key, '^[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)*$') AND NOT regexp_matches(key, '(^|/)\\.+(/|$)') AND NOT regexp_matches(key, '(^|/)__') AS valid FROM n",
         "plate_index": well,
         "field_counts": f"WITH {FOV_SQL}, w AS (SELECT plate, acquisition_id, row_name, column_name, count(*) AS n FROM f GROUP BY ALL), a AS (SELECT plate, row_name, column_name, count(*) AS n FROM f GROUP BY ALL) SELECT plate, acquisition_id, max(n) AS most FROM w GROUP BY ALL UNION ALL SELECT plate, -1, max(n) FROM a GROUP BY plate",
         "acquisition_check": f"WITH {FOV_SQL} SELECT row_name, column_name, path, acquisition_id FROM f WHERE acquisition_id > 5",
         "group_paths": f"WITH {FOV_SQL} SELECT DISTINCT plate AS path FROM f UNION SELECT DISTINCT plate || '/' || row_name FROM f UNION SELECT DISTINCT plate || '/' || row_name || '/' || column_name FROM f",
-        "metadata_merge": "SELECT conv_id, role, arg_max(text, turn) AS value FROM conversations GROUP BY ALL",
+        "metadata_merge": "SELECT conv_id, role, text AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC NULLS LAST) AS i FROM conversations) WHERE i = 1 AND role <> 'ome'",
+        "plate_documents": f"""WITH {FOV_SQL}, w AS ({well}), n AS (SELECT acquisition_id AS id, row_name, column_name, count(*) AS n FROM f GROUP BY ALL), a AS (SELECT id, max(n) AS most FROM n GROUP BY id),
+  x AS (SELECT r.id, coalesce(most, 0) AS most FROM (SELECT unnest(range(0, 6)) AS id) r LEFT JOIN a ON a.id = r.id)
+SELECT 'p' AS path, '0.5' AS version, (SELECT max(n) FROM (SELECT count(*) AS n FROM f GROUP BY row_name, column_name)) AS field_count, (SELECT string_agg(r_name, ',' ORDER BY r_regionkey) FROM region) AS row_names,
+  (SELECT count(*) FROM w) AS n_wells, (SELECT string_agg(row_name || '/' || column_name || ':' || row_index || ':' || column_index, ',' ORDER BY row_index, column_index) FROM w) AS wells,
+  (SELECT string_agg(id || ':' || most || ':a' || id, ',' ORDER BY id) FROM x) AS acquisitions""",
+        "well_documents": f"WITH {FOV_SQL} SELECT plate || '/' || row_name || '/' || column_name AS path, string_agg(path || ':' || acquisition_id, ',' ORDER BY ord) AS images FROM f GROUP BY ALL",
+        "misplaced_wells": f"WITH w AS ({well}) SELECT plate, row_name, column_name, concat_ws(' and ', CASE WHEN row_index = 2 THEN 'row' END, CASE WHEN column_index % 3 = 0 THEN 'column' END) AS missing FROM w WHERE row_index = 2 OR column_index % 3 = 0",
+        "bad_names": "WITH n AS (SELECT n_name AS name FROM nation UNION ALL SELECT lower(n_name) FROM nation WHERE length(n_name) < 6), c AS (SELECT name, count(*) OVER (PARTITION BY lower(name)) AS n FROM n) SELECT DISTINCT 'p' AS plate, name, CASE WHEN NOT regexp_matches(name, '^[A-Za-z0-9]+$') THEN 'characters' ELSE 'repeated' END AS fault FROM c WHERE n > 1 OR NOT regexp_matches(name, '^[A-Za-z0-9]+$')",
+        "twice_imaged": f"WITH {FOV_SQL} SELECT plate, row_name, column_name, right(path, 2) AS path, count(*) AS n FROM f GROUP BY plate, row_name, column_name, right(path, 2) HAVING count(*) > 1",
+        "tree_check": """WITH s AS (SELECT s_nationkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey AS VARCHAR) WHEN s_suppkey % 10 = 1 THEN 'zarr.json' ELSE 's' || s_suppkey END AS child FROM supplier),
+  t AS (SELECT 'k' || k || '/' || child AS array_key, k, child FROM s JOIN nation ON k = n_nationkey)
+SELECT array_key, 'repeated' AS fault FROM (SELECT 'k' || k || '/' || child AS array_key FROM s) GROUP BY array_key HAVING count(*) > 1
+UNION SELECT 'k' || k || '/' || child, 'reserved name' FROM s WHERE child = 'zarr.json'
+UNION SELECT array_key, 'below an array' FROM t WHERE k % 2 = 0 UNION SELECT array_key, 'among levels' FROM t WHERE k % 2 = 1 AND regexp_matches(child, '^[0-9]+$')""",
+        "group_kinds": f"WITH {FOV_SQL} SELECT DISTINCT plate AS path, 'plate' AS kind FROM f UNION SELECT DISTINCT plate || '/' || row_name, 'group' FROM f UNION SELECT DISTINCT plate || '/' || row_name || '/' || column_name, 'well' FROM f",
     }

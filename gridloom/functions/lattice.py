@@ -26,7 +26,9 @@ def frame_coords(layout: Layout, frame: Column) -> list[Column]:
 def transposed(layout: Layout, frame: Column) -> Column:
     """Storage frame id of an acquisition frame id: decoded in one order of the axes and encoded in the other."""
     spec = layout.spec
-    order = spec.order or tuple(range(len(spec.dims)))
+    order = spec.order
+    if order is None or spec.flat:
+        return frame
     dims, n = spec.dims, len(spec.dims) - 2
     at = []
     for i in range(n):
@@ -94,6 +96,29 @@ def shard_path(layout: Layout, chunk: Column) -> Column:
     return F.concat_ws("/", F.lit("c"), *(at[1:] if layout.spec.flat else at))
 
 
+def shape_after(layout: Layout, frames: Column) -> list[Column]:
+    """Sizes of the array's axes when ``frames`` frames have been written."""
+    for d in reversed(layout.inner):
+        frames = div(frames + (d.size - 1), d.size)
+    out = [frames, *(F.lit(d.size).cast("long") for d in layout.axes[1:])]
+    return out[1:] if layout.spec.flat else out
+
+
+def shard_layer(layout: Layout, frame: Column) -> Column:
+    """Append shard of a storage frame: it changes when a shard is full and files roll over."""
+    return div(frame, layout.shard_layer_frames)
+
+
+def chunk_layer(layout: Layout, frame: Column) -> Column:
+    """Chunk layer of a storage frame: chunks are complete when it changes."""
+    return div(frame, layout.chunk_layer_frames)
+
+
+def band(layout: Layout, frame: Column) -> Column:
+    """Band of a storage frame within its chunk layer; 0 where layers are not flushed band by band."""
+    return div(frame % layout.chunk_layer_frames, layout.band_frames) if layout.banded else F.lit(0).cast("long")
+
+
 def normal_key(key: Column) -> Column:
     """White space and slashes trimmed off, runs of slashes joined."""
     return F.regexp_replace(F.regexp_replace(key, r"^[\s/]+|[\s/]+$", ""), "/+", "/")

@@ -9,6 +9,9 @@ from math import prod
 #: Bytes of each pixel type.
 DTYPES = {"uint8": 1, "uint16": 2, "uint32": 4, "uint64": 8, "int8": 1, "int16": 2, "int32": 4, "int64": 8, "float32": 4, "float64": 8}
 METHODS = ("decimate", "mean", "min", "max")
+#: Codecs with their largest level and shuffle.
+CODECS = {"none": (0, 0), "zstd": (22, 0), "blosc-lz4": (9, 2), "blosc-zstd": (9, 2)}
+RESERVED_FILES = (".zarray", ".zattrs", ".zgroup", "zarr.json")
 QUEUE_BYTES, QUEUE_FRAMES = 256 << 20, (16, 512)  # target of buffered frames and its bounds
 
 
@@ -47,6 +50,7 @@ class ArraySpec:
     max_levels: int = 0
     compressor: str = "none"
     level: int = 1
+    shuffle: int = 0
     attributes: dict = field(default_factory=dict)
 
     @property
@@ -84,10 +88,16 @@ def validate(spec: ArraySpec) -> list[str]:
             bad.append("the storage order keeps the first axis first and the last two last")
     if spec.method is not None and spec.method not in METHODS:
         bad.append(f"unknown method {spec.method}")
-    if spec.compressor not in ("none", "zstd"):
-        bad.append(f"compressor {spec.compressor} is not available")
-    if spec.compressor == "zstd" and not 0 <= spec.level <= 22:
-        bad.append("the zstd level is 0 to 22")
+    if spec.compressor not in CODECS:
+        bad.append(f"unknown compressor {spec.compressor}")
+    elif spec.compressor != "none":
+        level, shuffle = CODECS[spec.compressor]
+        if not 0 <= spec.level <= level:
+            bad.append(f"the level of {spec.compressor} is 0 to {level}")
+        if not 0 <= spec.shuffle <= shuffle:
+            bad.append(f"the shuffle of {spec.compressor} is 0 to {shuffle}")
+    if spec.max_levels < 0:
+        bad.append("the number of levels is not negative")
     if "ome" in spec.attributes:
         bad.append("the attribute ome is reserved")
     return bad
@@ -156,6 +166,58 @@ class Layout:
     def band_frames(self) -> int:
         return self.axes[1].chunk * prod(d.size for d in self.axes[2:-2])
 
+    @property
+    def bands(self) -> int:
+        """Bands of one step of the append axis; one where there is no banding."""
+        return self.axes[1].chunks if self.banded else 1
+
+    @property
+    def band_chunks(self) -> int:
+        return prod(d.chunks for d in self.axes[2:])
+
+    @property
+    def slots(self) -> int:
+        """Chunks of a full shard."""
+        return prod(d.shard for d in self.axes)
+
+    def transposed(self, frame: int) -> int:
+        """Storage frame id of an acquisition frame id."""
+        spec = self.spec
+        if spec.order is None or spec.flat:
+            return frame
+        dims, n = spec.dims, len(spec.dims) - 2
+        at = []
+        for size in reversed([d.size for d in dims[1:n]]):
+            frame, x = divmod(frame, size)
+            at.insert(0, x)
+        at.insert(0, frame)
+        out = 0
+        for i in spec.order[:n]:
+            out = out * dims[i].size + at[i] if i else at[0]
+        return out
+
+    @property
+    def swapped(self) -> bool:
+        """Whether rows and columns change places in storage."""
+        return self.spec.order is not None and self.spec.order[-1] < self.spec.order[-2]
+
+    @property
+    def stored(self) -> ArraySpec:
+        """The array whose acquisition order is the storage order."""
+        return self.spec if self.spec.order is None else replace(self.spec, dims=tuple(self.spec.dims[i] for i in self.spec.order), order=None)
+
+    def shard_layer_chunks(self, shard: int, layer: int) -> list[int]:
+        """Chunks of a shard (index within its append shard) that one chunk layer of the append axis fills, ascending."""
+        first = self.layer_chunks * layer
+        return [c for c in range(first, first + self.layer_chunks) if self.shard_of(c) == shard]
+
+    def empty_slots(self, shard: int, layer: int) -> list[int]:
+        """Slots of that layer of the shard that no chunk fills, as the shard reaches over the array's edge."""
+        per = self.slots // self.axes[0].shard
+        start = layer % self.axes[0].shard * per
+        have = {self.slot_of(c) for c in self.shard_layer_chunks(shard, layer)}
+        return [k for k in range(start, start + per) if k not in have]
+
     def frame_strides(self) -> list[int]:
         """Frames between neighbours of each non-spatial axis."""
         return [prod(d.size for d in self.axes[i + 1 : -2]) for i in range(len(self.axes) - 2)]

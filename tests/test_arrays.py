@@ -108,6 +108,6 @@ def test_stream_reframes(spark, tmp_path):
 def test_zero_fill_of_all_frames(spark, monkeypatch):
     from gridloom import catalogue
 
-    for n, most in ((0, 40), (20, 40), (200, 200)):
+    for n in (0, 20, 200):
         monkeypatch.setattr(catalogue, "frames_of", lambda spark, sf, n=n: spark.range(n).selectExpr("id as frame", "id + 7 as total"))
-        assert sorted(map(tuple, catalogue.zero_fill(spark, "").collect())) == [(i, i + 7 if i < n and i % 3 != 1 else 0) for i in range(most)]
+        assert sorted(map(tuple, catalogue.zero_fill(spark, "").collect())) == [(i, i + 7 if i % 3 != 1 else 0) for i in range(n)]
