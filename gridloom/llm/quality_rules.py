@@ -149,8 +149,8 @@ def judge(voted: DataFrame, model: VoteModel) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns. Reads ``docs`` twice: to fit and to judge."""
-    voted = with_votes(docs, text)
+    """The rows of ``docs`` that are kept, with their own columns. Rows go to the checkpoint folder with their votes, so that these are computed once."""
+    voted = materialise(with_votes(docs, text).select("row", "base_failed", *[f"vote_{r[0]}" for r in RULES]))
     return judge(voted, fit(voted)).filter("kept").select("row.*")
 
 

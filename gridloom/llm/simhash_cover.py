@@ -10,8 +10,10 @@ anchor (the product code), which keeps buckets small; both forms find all links.
 Equal fingerprints are collapsed first. Anchors with very many homes are split: homes are dealt to parts, replicas
 go to every part. A task writes a spanning forest of the links it finds, never all pairs.
 
-Defined results: null and blank texts have fingerprint zero and link like any other; equal ids count as
-one document for ``component_id``, which ignores null ids; an empty table gives no rows.
+Defined results: null and blank texts have fingerprint zero and link like any other; very long texts are read whole; equal ids count as
+one document for ``component_id``, which ignores null ids, and as different documents where rows are dropped, if their texts differ; repeated
+rows stay once; a tie between rows of one id goes to the smaller text hash; an empty table gives no rows; input columns may have any
+name, those named fp or component_id give way to the operator's.
 """
 
 from __future__ import annotations
@@ -180,20 +182,56 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def cluster_documents(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The columns of ``docs`` but the text, then ``fp`` and ``component_id`` (smallest id that links reach)."""
-    known = materialise(fingerprints(make_room(docs, "component_id", "f", "first", "node", "root", "r", "w"), text))
+    rest = make_room(docs, "fp", "component_id", text).columns
+    # input columns travel in one struct, so their names can't clash
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(None).cast("string").alias("_end")).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    known = materialise(fingerprints(packed))
     groups = components(links(known, threshold))
-    firsts = known.groupBy(F.col("fp").alias("f")).agg(F.min(doc_id).alias("first"))
+    firsts = known.groupBy(F.col("fp").alias("f")).agg(F.min("id").alias("first"))
     rooted = firsts.join(groups, F.col("f") == F.col("node"), "left").select("f", "first", F.coalesce("root", "f").alias("r"))
     whole = rooted.groupBy(F.col("r").alias("w")).agg(F.min("first").alias("component_id"))
     label = rooted.join(whole, F.col("r") == F.col("w")).select("f", "component_id")
-    return known.join(label, F.col("fp") == F.col("f")).drop("f")
+    return known.join(label, F.col("fp") == F.col("f")).select(*[F.col("row")[c].alias(c) for c in rest], "fp", "component_id")
+
+
+def first_rows(docs: DataFrame, groups: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Of each group of texts the row with the smallest id (then text hash) stays, once; so do all rows without an id.
+
+    ``groups`` (node, root) link hashes of texts; equal texts are a group of their own. Rows are told apart by id and text, so a text
+    that shares its id with a copy stays. Only rows that may go take part in a shuffle.
+    """
+    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), text_key(text))
+    rooted = rows.join(groups, F.col("t") == F.col("node"), "left").select("id", "t", F.coalesce("root", "t").alias("r"))
+    best = rooted.groupBy("r").agg(F.min(F.struct("id", "t")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("r", "best")
+    met = rooted.join(best, "r").groupBy("id", "t").agg(F.first(F.struct("id", "t") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    met = materialise(met.filter("not stays or n > 1").select(F.col("id").alias("met_id"), F.col("t").alias("met_t"), "stays"))
+    marked = fl.may_hold(docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), text_key(text)), "t", met, "met_t")
+    free = marked.filter(~F.col("_may") | F.col("id").isNull()).select("row.*")
+    joined = marked.filter(F.col("_may") & F.col("id").isNotNull()).join(met, (F.col("id") == F.col("met_id")) & (F.col("t") == F.col("met_t")), "left")
+    alone = joined.filter("stays is null").select("row.*")
+    return free.unionByName(alone).unionByName(joined.filter("stays").dropDuplicates(["id", "t"]).select("row.*"))
+
+
+def text_key(text: str):
+    return F.xxhash64(text).alias("t")
 
 
 def drop_near_copies(docs: DataFrame, threshold: int = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, and those without an id."""
-    groups = cluster_documents(docs.select(doc_id, text), threshold, text, doc_id)
-    gone = groups.filter(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("gone_id")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    """``docs`` without the rows whose fingerprint is linked to a row of a smaller id; rows without an id stay."""
+    return first_rows(docs, components(near_edges(docs, threshold, text)), text, doc_id)
+
+
+def near_edges(docs: DataFrame, threshold: int, text: str) -> DataFrame:
+    """(a, b): hashes of texts; each text is tied to the first of its component of fingerprints."""
+    known = materialise(fingerprints(docs.select(text_key(text), F.col(text).alias("text"))).distinct())
+    return tied(known.select("t", F.col("fp").alias("h")), components(links(known, threshold)))
+
+
+def tied(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b) from rows (t, h) and components (node, root) of h: the smallest t of the component, and each t."""
+    rooted = rows.join(groups, F.col("h") == F.col("node"), "left").select("t", F.coalesce("root", "h").alias("r"))
+    firsts = rooted.groupBy(F.col("r").alias("w")).agg(F.min("t").alias("a"))
+    return rooted.join(firsts, F.col("r") == F.col("w")).select("a", F.col("t").alias("b"))
 
 
 def word_sets(text):
@@ -206,26 +244,20 @@ def word_sets(text):
     return let(words(F.lower(text)), of)
 
 
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(id, first): of each document with words the smallest id among those linked by a Jaccard similarity of 0.8 or more.
+def similar_edges(docs: DataFrame, text: str) -> DataFrame:
+    """(a, b): hashes of texts; each text with words is tied to the first of those linked by a Jaccard similarity of 0.8 or more.
 
-    Candidates come from MinHash buckets (0.991 of the pairs at 0.8) and are checked by their whole shingle sets.
+    Candidates come from MinHash buckets (0.992 of the pairs at 0.8) and are checked by their whole shingle sets.
     """
-    worded = docs.filter(F.col(doc_id).isNotNull() & (F.size(words(F.col(text))) > 0))
-    rows = materialise(worded.select(F.col(doc_id).alias("id"), word_sets(F.col(text)).alias("code")).withColumn("h", F.xxhash64("code")))
-
-    lines = materialise(rows.groupBy("h").agg(F.first("code").alias("code")))
-    signed = lines.select("h", F.explode("code").alias("x")).groupBy("h").agg(*fl.minima([F.col("x")]))
-    groups = fl.linked(materialise(fl.buckets(signed)), lines, lambda code: code)
-    rooted = rows.select("id", "h").join(groups, F.col("h") == F.col("node"), "left").select("id", F.coalesce("root", "h").alias("r"))
-    firsts = rooted.groupBy(F.col("r").alias("w")).agg(F.min("id").alias("first"))
-    return rooted.join(firsts, F.col("r") == F.col("w")).select("id", "first")
+    worded = docs.filter(F.size(words(F.col(text))) > 0)
+    rows = materialise(worded.select(text_key(text), word_sets(F.col(text)).alias("code")).withColumn("h", F.xxhash64("code")))
+    sets = materialise(rows.groupBy("h").agg(F.first("code").alias("code")))
+    signed = sets.select("h", F.explode("code").alias("x")).groupBy("h").agg(*fl.minima([F.col("x")]))
+    groups = fl.linked(materialise(fl.buckets(signed)), sets, lambda code: code)
+    return tied(rows.select("t", "h").distinct(), groups)
 
 
 def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without those that near fingerprints or a Jaccard similarity of 0.8 link to a smaller id."""
-    near = cluster_documents(docs.select(doc_id, text), THRESHOLD, text, doc_id).select(F.col("component_id").alias("a"), F.col(doc_id).alias("b"))
-    alike = similar_documents(docs, text, doc_id).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    groups = components(near.filter("a is not null and b is not null").union(alike))
-    gone = groups.filter("node <> root").select(F.col("node").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    """``docs`` without the rows that near fingerprints or a Jaccard similarity of 0.8 link to a row of a smaller id."""
+    edges = near_edges(docs, THRESHOLD, text).union(similar_edges(docs, text))
+    return first_rows(docs, components(edges), text, doc_id)
