@@ -11,10 +11,12 @@ its distinct n-gram hashes with counts, sorted and delta coded, one blob for eac
 owner of a range adds up what all chunks sent and answers each chunk with the totals in the order of
 its request. So a frequent n-gram costs one entry per chunk, nothing grows with a single key, and each side holds
 one chunk or one key range. N-grams are known by 64-bit hashes. What reaches the driver are sums and the cells
-(context bucket by size of the estimates) that the weights are learned from, whose number is bounded.
+(context bucket by size of the estimates, two cells for each halving down to one in all training tokens) that the weights are learned from:
+their number grows with the square of the logarithm of the corpus.
 
 Defined results: null and empty texts are one end token; without training rows all tokens are
-unknown and score 1 / (V + 1) = 1; repeated rows are counted and scored one by one; other columns come back untouched.
+unknown and score 1 / (V + 1) = 1; very long texts are scored whole; repeated rows are counted and scored one by one, so there are no
+ties; an empty table gives no rows; other columns come back untouched, but those with names of the results give way to them.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from ._shared import make_room, materialise
 
 CHUNK, RANGE, PIECE = 8 << 20, 16 << 20, 1 << 19
 KEPT, DELETED, UNSEEN = 0, 1, 2
-BUCKETS, CELLS, STEPS = 42, 24, 40
+BUCKETS, STEPS = 42, 40
 START_KEY, END_KEY = np.uint64(0x5EED0000CAFEF00D), np.uint64(0xE0D0000000000E0D)
 
 
@@ -293,19 +295,21 @@ def score_documents(docs: DataFrame, training: Column, deleted: Column, text: st
     n_kept, n_all, v_kept, v_all = (int(x or 0) for x in sums)
     answers = replies.select("chunk", "kind", "part", "kept", "deleted")
 
+    sizes = 2 * (n_kept.bit_length() + 1)  # the smallest estimate is one in n_kept
+
     def cells(left: pa.Table, right: pa.Table) -> pa.Table:
         c, t = Chunk.read(left.column("blob")[0].as_py()), _totals(right)
         f2, f1, b = _estimates(c, t[0, "kept"], t[1, "kept"], n_kept)
-        size_of = lambda f: np.where(f > 0, np.clip(np.floor(-np.log2(np.maximum(f, 1e-300)) * 2), 0, 2 * CELLS - 2).astype(np.int64) + 1, 0)
-        cell = (b * 2 * CELLS + size_of(f2)) * 2 * CELLS + size_of(f1)
+        size_of = lambda f: np.where(f > 0, np.clip(np.floor(-np.log2(np.maximum(f, 1e-300)) * 2), 0, sizes - 2).astype(np.int64) + 1, 0)
+        cell = (b * sizes + size_of(f2)) * sizes + size_of(f1)
         at, inverse = np.unique(cell, return_inverse=True)
         total = lambda w: np.bincount(inverse, w, len(at))
         return pa.table({"cell": at, "n": np.bincount(inverse, minlength=len(at)), "f2": total(f2), "f1": total(f1)})
 
     part = store.filter("deleted")
     seen = part.select("chunk", "blob").groupBy("chunk").cogroup(answers.join(part.select("chunk"), "chunk", "left_semi").groupBy("chunk")).applyInArrow(cells, "cell long, n long, f2 double, f1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("f2").alias("f2"), F.sum("f1").alias("f1"))
-    rows = sorted(map(tuple, seen.collect()))  # at most BUCKETS * (2 * CELLS) ** 2 cells
-    weights = learn_weights([(cell // (2 * CELLS) ** 2, n, f2 / n, f1 / n) for cell, n, f2, f1 in rows], v_kept)
+    rows = sorted(map(tuple, seen.collect()))  # at most BUCKETS * sizes ** 2 cells
+    weights = learn_weights([(cell // sizes**2, n, f2 / n, f1 / n) for cell, n, f2, f1 in rows], v_kept)
 
     rest = StructType([f for f in docs.schema if f.name != text])
     out = StructType().add("rest", StructType([*rest, *StructType().add("_end", StringType())]))

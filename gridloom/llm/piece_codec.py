@@ -8,7 +8,8 @@ white-space delimited parts and each worker remembers the ids of parts it has me
 vocabulary has a space mark behind another character, which is checked; else whole texts are encoded.
 
 Defined results: null is the empty text, which encodes to the begin and end ids alone; very long texts are
-encoded whole; nothing depends on other rows, so repeated rows get equal results.
+encoded whole; nothing depends on other rows, so repeated rows get equal results and there are no ties; an empty table gives no rows; input
+columns named ids, spans or decoded give way to the operator's.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from ._arrow import per_text
 from ._shared import make_room
 
 MARK = "▁"
-#: Parts that a worker remembers at most; beyond that it starts afresh.
-MOST_PARTS = 200_000
+#: Bytes of parts that a worker remembers at most; beyond that it starts afresh.
+MOST_PARTS = 16 << 20
 
 
 def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,6 +88,12 @@ class CharacterMap:
         return best[0], self.strings[start : self.strings.index(b"\0", start)]
 
 
+@lru_cache(8)
+def character_map(blob: bytes) -> CharacterMap:
+    """The map of a model, unpacked once in each worker."""
+    return CharacterMap(blob)
+
+
 @dataclass(frozen=True)
 class Model:
     """What the codec needs of a SentencePiece model file."""
@@ -107,7 +115,7 @@ class Model:
                 pieces.append(p[1].decode())
                 kinds.append(p.get(3, 1))
             elif field == 3:
-                norm = dict(wire_fields(value))
+                norm |= dict(wire_fields(value))  # a repeated message adds to the first
         return Model(proto, tuple(pieces), tuple(kinds), norm.get(2, b""), bool(norm.get(3, 1)), bool(norm.get(4, 1)), bool(norm.get(5, 1)))
 
     @property
@@ -125,7 +133,7 @@ def normalise(source: bytes, model: Model) -> tuple[bytes, np.ndarray]:
         lead = len(mark) if model.dummy_prefix and source else 0
         origin = np.concatenate([np.zeros(lead, np.int64), np.repeat(np.arange(len(body)), wide), [len(body)]])
         return mark * bool(lead) + source.replace(b" ", mark), origin
-    chars, out, origin, at = CharacterMap(model.charsmap), bytearray(), [], 0
+    chars, out, origin, at = character_map(model.charsmap), bytearray(), [], 0
     chunks: list[tuple[bytes, int]] = []
     while at < len(source):
         hit = chars.longest(source, at)
@@ -173,6 +181,7 @@ class Codec:
         self.widths = np.array([1 if k == 6 else 0 if k == 3 else len(p.encode()) for p, k in zip(model.pieces, model.kinds, strict=True)], np.int64)
         self.by_parts = model.separable and not model.charsmap and not model.squeeze
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
     def ids(self, source: str) -> bytes:
@@ -182,9 +191,10 @@ class Codec:
         found = self.cut(MARK + source.replace(" ", MARK)) if source else []
         known = self.parts
         if new := [p for p in set(found) if p not in known]:
-            if len(known) + len(new) > MOST_PARTS:
+            if self.held > MOST_PARTS:
                 known.clear()
-                new = list(set(found))
+                self.held, new = 0, list(set(found))
+            self.held += sum(map(len, new))
             known[MARK] = np.array([self.run.piece_to_id(MARK)], "<u4").tobytes()  # a last single space
             new = [p for p in new if p != MARK]
             # the model puts a space mark of its own before each part
@@ -197,9 +207,9 @@ class Codec:
         normal, origin = normalise(source, self.model)
         at = np.concatenate([[0], np.cumsum(self.widths[np.frombuffer(ids, "<u4")])])
         if at[-1] != len(normal):  # an unknown piece stands for any number of bytes: ask the library
-            got = self.run.encode(source.decode("utf-8", "replace"), out_type="immutable_proto")
-            ends = [0, *(len(got.text.encode()[: p.end]) for p in got.pieces)]
-            return np.stack([[0, *ends[:-1], len(source)], [0, *ends[1:], len(source)]], 1).astype("<i4").tobytes()
+            got = self.run.encode(source.decode("utf-8", "replace"), return_type="proto")
+            spans = [(0, 0), *((p.begin, p.end) for p in got.pieces), (len(source), len(source))]
+            return np.array(spans, "<i4").tobytes()
         return np.stack([origin[at[:-1]], origin[at[1:]]], 1).astype("<i4").tobytes()
 
     def decode(self, ids: bytes) -> str:

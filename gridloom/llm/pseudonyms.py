@@ -2,11 +2,15 @@
 
 Finds mail addresses, IPv4 addresses, payment card numbers (Luhn), IBANs (mod 97), phone numbers, social security numbers, calendar dates
 and long hexadecimal secrets; each is checked before it counts. A found value is permuted within its own
-format by a keyed Feistel network over its digits and letters (check digits are made anew, dates move among
-valid dates), so that the text keeps its shape and equal values stay equal in all documents.
-
-Defined results: null stays null with no findings; a value that fails its check is left as it is; the same
-key gives the same pseudonym everywhere; whole texts are searched.
+format by a keyed Feistel network over its digits and letters (check digits are made anew; a pseudonym that would not pass the value's own check is
+permuted again until one does), so that the text keeps its shape, equal values stay equal in all documents, and the key reverses it. Dates are
+permuted as days, whatever the way they are written, so one date is one pseudonym in all of them; days up to the 12th stay among
+such days, as else month and day could change places on the way back.
+
+Defined results: null stays null with no findings, an empty text stays empty; a value that fails its check is left as it is, but a value between
+spaces inside it is found; the same key gives the same pseudonym everywhere, so repeated rows get
+equal results; whole texts are searched, however long; an empty table gives no rows; input columns named text or n_<kind> give way to the
+operator's.
 """
 
 from __future__ import annotations
@@ -21,12 +25,13 @@ from ._arrow import per_text
 from ._shared import make_room
 
 ROUNDS = 10
+CHECKED = ("card", "iban")
 KINDS = ("email", "iban", "card", "ssn", "ipv4", "date", "phone", "secret")
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z]))"
+    r"(?P<email>(?<![\w.+-])[A-Za-z0-9_][\w.+-]*@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))"
+    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<ipv4>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9]))"
     r"|(?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![\w/-]))"
@@ -111,8 +116,7 @@ def _date(s: str, key: bytes, inverse: bool) -> str | None:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        # dates whose day could also be a month stay among such dates, so that reading the result back takes the same order
-        loose = lambda x: not iso and dt.date.fromordinal(x).day <= 12
+        loose = lambda x: dt.date.fromordinal(x).day <= 12
         n, kind = day, loose(day)
         while True:
             hi, lo = divmod(n - FIRST_DAY, 512)
@@ -127,8 +131,19 @@ def _date(s: str, key: bytes, inverse: bool) -> str | None:
     return None
 
 
+def _walk(s: str, valid, step) -> str | None:
+    """``step`` taken from a valid value until the next valid one: a permutation of the valid values."""
+    if not valid(s):
+        return None
+    s = step(s)
+    while not valid(s):
+        s = step(s)
+    return s
+
+
 def _ssn(s: str, key: bytes, inverse: bool) -> str | None:
-    return None if s[:3] in ("000", "666") or s[0] == "9" or s[4:6] == "00" or s[7:] == "0000" else permute_text(s, key, inverse=inverse)
+    valid = lambda x: not (x[:3] in ("000", "666") or x[0] == "9" or x[4:6] == "00" or x[7:] == "0000")
+    return _walk(s, valid, lambda x: permute_text(x, key, inverse=inverse))
 
 
 def _phone(s: str, key: bytes, inverse: bool) -> str | None:
@@ -147,25 +162,51 @@ def _email(s: str, key: bytes, inverse: bool) -> str | None:
 
 
 def _secret(s: str, key: bytes, inverse: bool) -> str | None:
-    return permute_text(s, key, ("0123456789abcdef",), inverse)
+    alphabet = "0123456789ABCDEF" if re.search("[A-F]", s) else "0123456789abcdef"
+    mixed = lambda x: re.search("[0-9]", x) and re.search("[A-Fa-f]", x)
+    return _walk(s, mixed, lambda x: permute_text(x, key, (alphabet,), inverse))
 
 
 MAKE = {"card": _card, "iban": _iban, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "phone": _phone, "email": _email, "secret": _secret}
 
 
+#: The pattern of each kind alone.
+ALONE = {k: re.compile(m[1], re.ASCII) for k in KINDS if (m := re.search(rf"\(\?P<{k}>(.*?)\)(?=\|\(\?P<|$)", PATTERN.pattern))}
+
+
+def _within(text: str, begin: int, end: int, key: bytes) -> tuple[str, int, int, str] | None:
+    """(kind, begin, end, pseudonym) of the first, then longest value between spaces inside a match that failed.
+
+    Only kinds with check digits may hold spaces here: any part of a failed number would look like a phone number.
+    """
+    edges = [begin, *(i + 1 for i in range(begin, end) if text[i] == " ")]
+    stops = [*(i for i in range(end - 1, begin, -1) if text[i] == " ")]
+    for lo in edges:
+        for hi in [end, *stops] if lo > begin else stops:
+            if hi <= lo:
+                break
+            for kind, pattern in ALONE.items():
+                if (kind in CHECKED or " " not in text[lo:hi]) and pattern.fullmatch(text, lo, hi) and (new := MAKE[kind](text[lo:hi], key + kind.encode(), False)) is not None:
+                    return kind, lo, hi, new
+    return None
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """(text with pseudonyms, findings by kind)."""
     found = dict.fromkeys(KINDS, 0)
-
-    def one(m: re.Match) -> str:
-        kind = m.lastgroup
+    out, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        kind, begin, end = m.lastgroup, m.start(), m.end()
         new = MAKE[kind](m[0], key + kind.encode(), False)
         if new is None:
-            return m[0]
+            if (some := _within(text, begin, end, key)) is None:
+                at = end
+                continue
+            kind, begin, end, new = some
         found[kind] += 1
-        return new
-
-    return PATTERN.sub(one, text), found
+        out += [text[done:begin], new]
+        done = at = end
+    return "".join([*out, text[done:]]), found
 
 
 def pseudonymise_documents(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -51,7 +51,7 @@ def op6_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pc.encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
     size = lambda c: F.octet_length(c).cast("long")
-    return out.select("doc_id", F.floor(size("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.floor(size("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2("spans", 256).alias("spans_sha256"))
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,6 +98,26 @@ def test_character_map():
         assert out.decode().replace(pc.MARK, " ").strip() == norm.normalize(t).replace(pc.MARK, " ").strip()
 
 
+def test_spans_through_a_character_map():
+    """The vocabulary with another normaliser: spans are those that the library gives itself."""
+    import sentencepiece
+
+    with open(tokenizer("piece_bpe_32k.model"), "rb") as f:
+        base = f.read()
+    spec = dict(pc.wire_fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]
+    size, n = b"", len(spec)
+    while n > 127:
+        size, n = size + bytes([n & 127 | 128]), n >> 7
+    model = pc.Model.parse(base + bytes([3 << 3 | 2]) + size + bytes([n]) + spec)
+    codec = pc.Codec(model)
+    assert model.charsmap and not codec.by_parts
+    for t in ("ＡＢ ① ﬁx hello   wörld ", "  a   b ", "ガ plain ½", "", "x", "\U0001f600 ñ ﷺ end", "a\tb\n", "é" * 3000):
+        ids = codec.ids(t)
+        assert np.frombuffer(ids, "<u4").tolist() == codec.run.encode(t, add_bos=True, add_eos=True)
+        got = np.frombuffer(codec.spans(t.encode(), ids), "<i4").reshape(-1, 2)[1:-1].tolist()
+        assert got == [[p.begin, p.end] for p in codec.run.encode(t, return_type="proto").pieces], t
+
+
 def test_pseudonyms(docs, none):
     key = b"k"
     t = "mail ann.lee7@host.example.org card 4539 1488 0343 6467 bad 4539 1488 0343 6468 ip 10.20.30.40 on 2021-03-04 or 31/12/1999 iban GB82 WEST 1234 5698 7654 32 call +1 (212) 555-0199 ssn 123-45-6789"
