@@ -6,13 +6,15 @@ language (popcounts of the bit columns), each count is corrected for the filter'
 of that language, and the language with the largest corrected count wins.
 
 A language contains an n-gram if the n-gram makes up at least MIN_SHARE of the language's n-grams of that
-length and is not much rarer there than elsewhere; hence at most ``1 / MIN_SHARE`` n-grams a length and
+length; hence at most ``1 / MIN_SHARE`` n-grams a length and
 language, whatever the corpus: that bounds what the driver and the filter hold. The filter is fitted on
 about ``sample`` labelled texts per language, picked by a hash of their id (a documented bound); prediction
 reads whole texts of all rows.
 
-Defined results: ``und`` with score 0 for null and for texts without a letter; without any learned
-language also ``und``; ties go to the language first in order; each row is judged by itself.
+Defined results: ``und`` with score 0 for null, empty texts and texts without a letter; without any learned
+language also ``und``; ties go to the language first in order; each row is judged by itself, so repeated rows get equal results; very long texts
+are read whole; an empty table gives no rows; input columns named lang_pred or score give way to the operator's. More than MOST_LANGUAGES
+languages are refused, as the table of their sizes goes to all tasks.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import make_room
+from ._shared import make_room, materialise
 
 ORDERS = (1, 2, 3, 4)
-MIN_SHARE, RELATIVE = 5e-5, 0.4
+MIN_SHARE = 5e-5
 HASHES, BITS_A_GRAM = 3, 16
-SAMPLE = 3000
+SAMPLE, MOST_LANGUAGES = 3000, 10_000
 UNDETERMINED = "und"
 SPACE = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -137,7 +139,10 @@ def build(found: list[tuple[str, int]]) -> LanguageFilter:
 def learn(labelled: DataFrame, by: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageFilter:
     """The filter learned from the rows of ``labelled`` with a text and a language; ``by`` picks the sample."""
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(by), F.lit(1 << 20)).alias("pick"))
-    sizes = known.groupBy("lang").count()
+    sizes = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = labelled.sparkSession.createDataFrame([(r[0], r[1]) for r in sizes], "lang string, count long")
     chosen = known.join(F.broadcast(sizes), "lang").filter(F.col("pick") * F.col("count") < sample * (1 << 20)).select("lang", "text")
 
     def count(batches):
@@ -156,11 +161,9 @@ def learn(labelled: DataFrame, by: Column, text: str = "text", lang: str = "lang
                     c = np.bincount(at, np.concatenate([c for _, c in found[order]]), len(h))
                     yield pa.RecordBatch.from_arrays([pa.array([x] * len(h), pa.string()), pa.array([order] * len(h), pa.int32()), pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "size", "gram", "n"])
 
-    counted = chosen.mapInArrow(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    shares = counted.join(F.broadcast(totals), ["lang", "size"]).select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= MIN_SHARE)
-    most = shares.groupBy("gram").agg(F.max("share").alias("most"))
-    rows = shares.join(most, "gram").filter(F.col("share") >= RELATIVE * F.col("most")).select("lang", "gram").collect()
+    counted = materialise(chosen.mapInArrow(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
+    totals = counted.groupBy("lang", "size").agg(F.sum("n").alias("total"))  # a row for each language and length
+    rows = counted.join(F.broadcast(totals), ["lang", "size"]).filter(F.col("n") >= MIN_SHARE * F.col("total")).select("lang", "gram").collect()
     return build([(r[0], r[1]) for r in rows])
 
 
