@@ -5,7 +5,7 @@ strings are judged on the input). To keep the sort small, suffixes are first sie
 
 1. Each SPAN-byte window names the smallest hash among its GRAM-byte strings (its minimiser), a function of its
    content alone. Chunks of documents send the distinct minimisers; one owner per key range tells which occur in two
-   or more documents. All other windows are unique and drop out.
+   or more documents, and which head more than HOT different segments. All other windows are unique and drop out.
 2. Neighbouring windows with one minimiser form a segment, the suffix at its first window cut after its last.
    A chunk sorts the segments left, drops repeats, and sends a front-coded run (shared prefix length and the rest)
    to each key range. The owner merges the runs with a loser tree that compares by known common-prefix lengths
@@ -13,10 +13,14 @@ strings are judged on the input). To keep the sort small, suffixes are first sie
 3. In merged order equal segments meet; segments of one minimiser that differ are compared window by window. Each
    chunk gets back, for every window it asked about, the smallest id that holds it, and removes what a smaller id covers.
 
+   Segments of a HOT minimiser (the edge of a passage that very many documents hold, each in other surroundings) are sent window by
+   window, each led by its own hash, so that they spread over all key ranges instead of meeting in one.
+
 Chunks hold about CHUNK bytes; key ranges grow in number with the input. Groups of copies cost an entry per chunk, never pairs.
 
-Defined results: null text is empty; texts shorter than SPAN lose nothing; a null id counts as larger than any
-other; equal ids never remove from each other, so repeated rows stay alike; the kept bytes may not be valid text and are binary.
+Defined results: null text is empty; texts shorter than SPAN lose nothing, very long ones are read whole; a null id counts as larger than any
+other; equal ids never remove from each other, so repeated rows stay alike and there are no ties; the kept bytes may not be valid text and are
+binary; an empty table gives no rows; other input columns travel in a struct, those named like the results give way to them.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from .interpolated_lm import mixed, pack, unpack
 SPAN, GRAM = 50, 20
 SLOTS = SPAN - GRAM + 1  # GRAM-byte strings of a window
 CHUNK, RANGE = 5 << 20, 6 << 20
+HOT = 2000
 NO_ID = np.iinfo(np.int64).max
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _P = 0x9FB21C651E98DF25 | 1
@@ -277,12 +282,39 @@ class Chunk:
         np.maximum.at(high, self.at, ids)
         return low != high
 
-    def shared(self, bits: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    def variety(self) -> np.ndarray:
+        """About how many different segments each of the distinct minimisers heads: told apart by length, ends and middle."""
+        text = np.append(self.data, np.zeros(2 * SPAN, np.uint8)).astype(np.uint64)
+        look = self.count.astype(np.uint64)
+        for at in (self.first, self.first + 4, self.first + 9, self.first + self.count + SPAN - 2, self.first + self.count + SPAN - 7, self.first + self.count // 2 + SPAN // 2):
+            look = mixed(look * np.uint64(0x9E3779B97F4A7C15) + text[at])
+        pair = np.unique(self.at.astype(np.uint64) << np.uint64(32) | look >> np.uint64(32))
+        return np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=len(self.distinct))
+
+    def spread(self, hot: np.ndarray) -> None:
+        """Cuts the segments of the minimisers where ``hot`` holds into windows, each with its own hash as key."""
+        which = hot[self.at]
+        if not which.any():
+            return
+        n = self.count[which]
+        first = np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        keys = np.zeros(len(first), np.uint64)
+        odd = mixed(np.arange(1, SPAN + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+        for k in range(0, len(first), 1 << 14):
+            window = self.data[first[k : k + (1 << 14), None] + np.arange(SPAN)]
+            keys[k : k + (1 << 14)] = mixed((_BYTES[window] * odd).sum(1, dtype=np.uint64))
+        join = lambda x, y: np.concatenate([x[~which], y])
+        self.owner, self.keys = join(self.owner, np.repeat(self.owner[which], n)), join(self.keys, keys)
+        self.count, self.first = join(self.count, np.ones(len(first), np.int64)), join(self.first, first)
+
+    def shared(self, bits: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """(indices, strings led by their minimiser) of the segments whose minimiser several documents hold."""
-        which = np.nonzero(bits[self.at])[0]
-        lead = self.keys[which].astype(">u8").tobytes()
+        some = bits[self.at]
+        self.keys, self.first, self.count, self.owner, self.at = (x[some] for x in (self.keys, self.first, self.count, self.owner, self.at))
+        self.spread(hot)
+        lead = self.keys.astype(">u8").tobytes()
         text = self.data.tobytes()
-        return which, [lead[8 * k : 8 * k + 8] + text[a : a + n + SPAN - 1] for k, (a, n) in enumerate(zip(self.first[which].tolist(), self.count[which].tolist(), strict=True))]
+        return np.arange(len(self.keys)), [lead[8 * k : 8 * k + 8] + text[a : a + n + SPAN - 1] for k, (a, n) in enumerate(zip(self.first.tolist(), self.count.tolist(), strict=True))]
 
 
 def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -340,29 +372,32 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 c = Chunk(blob.as_py(), doc_id)
-                at, flags = cuts(c.distinct, ranges), c.in_several()
-                rows = [(p, chunk, pack(c.distinct[i:j], True), _zip(np.packbits(flags[i:j]).tobytes())) for p, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if j > i]
-                yield from _batches(rows, ["part", "chunk", "keys", "flags"], [pa.int32(), pa.string(), pa.binary(), pa.binary()])
+                at, flags, variety = cuts(c.distinct, ranges), c.in_several(), c.variety().astype(np.uint64)
+                rows = [(p, chunk, pack(c.distinct[i:j], True), _zip(np.packbits(flags[i:j]).tobytes()), pack(variety[i:j])) for p, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if j > i]
+                yield from _batches(rows, ["part", "chunk", "keys", "flags", "variety"], [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()])
 
     def common(table: pa.Table) -> pa.Table:
         keys = [unpack(x.as_py(), True) for x in table.column("keys")]
         flags = [np.unpackbits(np.frombuffer(_unzip(x.as_py()), np.uint8), count=len(k)) for x, k in zip(table.column("flags"), keys, strict=True)]
         known, at = np.unique(np.concatenate(keys), return_inverse=True)
         several = (np.bincount(at, minlength=len(known)) > 1) | (np.bincount(at, np.concatenate(flags), len(known)) > 0)
-        parts = np.split(several[at], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "n": [len(x) for x in parts], "bits": [_zip(np.packbits(x).tobytes()) for x in parts]})
+        hot = several & (np.bincount(at, np.concatenate([unpack(x.as_py()) for x in table.column("variety")]).astype(np.int64), len(known)) > HOT)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        packed = lambda x: [_zip(np.packbits(y).tobytes()) for y in np.split(x[at], ends)]
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "n": [len(k) for k in keys], "bits": packed(several), "hot": packed(hot)})
 
-    asked = blobs.mapInArrow(ask, "part int, chunk string, keys binary, flags binary")
-    bits = materialise(asked.groupBy("part").applyInArrow(common, "chunk string, part int, n long, bits binary"))
+    asked = blobs.mapInArrow(ask, "part int, chunk string, keys binary, flags binary, variety binary")
+    bits = materialise(asked.groupBy("part").applyInArrow(common, "chunk string, part int, n long, bits binary, hot binary"))
 
-    def all_bits(table: pa.Table) -> np.ndarray:
-        rows = sorted((p, n, b) for p, n, b in zip(table.column("part").to_pylist(), table.column("n").to_pylist(), table.column("bits").to_pylist(), strict=True) if b is not None)
-        got = [np.unpackbits(np.frombuffer(_unzip(b), np.uint8), count=n) for _, n, b in rows]
-        return np.concatenate(got).astype(bool) if got else np.zeros(0, bool)
+    def all_bits(table: pa.Table) -> list[np.ndarray]:
+        """Of a chunk's distinct minimisers, which several documents hold, and which are hot."""
+        rows = sorted(x for x in zip(*(table.column(c).to_pylist() for c in ("part", "n", "bits", "hot")), strict=True) if x[2] is not None)
+        got = [[np.unpackbits(np.frombuffer(_unzip(r[k]), np.uint8), count=r[1]) for r in rows] for k in (2, 3)]
+        return [np.concatenate(g).astype(bool) if g else np.zeros(0, bool) for g in got]
 
     def runs(left: pa.Table, right: pa.Table) -> pa.Table:
         c = Chunk(left.column("blob")[0].as_py(), doc_id)
-        which, strings = c.shared(all_bits(right))
+        which, strings = c.shared(*all_bits(right))
         low: dict[bytes, int] = {}
         for x, i in zip(strings, c.ids[c.owner[which]].tolist(), strict=True):
             if low.get(x, NO_ID) >= i:
@@ -389,7 +424,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     sent = blobs.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(runs, "part int, chunk string, shared binary, sizes binary, rest binary, ids binary")
     answers = sent.groupBy("part").applyInArrow(merge, "chunk string, part int, n long, low binary, differ binary, each binary")
     # one table for the last step: the bits again, and the answers
-    both = bits.select("chunk", "part", "n", "bits", *[F.lit(None).cast("binary").alias(x) for x in ("low", "differ", "each")]).unionByName(answers.withColumn("bits", F.lit(None).cast("binary")))
+    empty = F.lit(None).cast("binary")
+    both = bits.select("chunk", "part", "n", "bits", "hot", *[empty.alias(x) for x in ("low", "differ", "each")]).unionByName(answers.withColumn("bits", empty).withColumn("hot", empty))
 
     rest = StructType([f for f in docs.schema if f.name != text])
     out = StructType().add("rest", StructType([*rest, *StructType().add("_end", StringType())])).add("kept", BinaryType())
@@ -398,7 +434,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         c = Chunk(left.column("blob")[0].as_py(), doc_id)
-        which, strings = c.shared(all_bits(right.filter(pc.is_valid(right.column("bits")))))
+        which, strings = c.shared(*all_bits(right.filter(pc.is_valid(right.column("bits")))))
         edge = np.zeros(len(c.data) + 1, np.int64)
         if len(which):
             rows = right.filter(pc.is_valid(right.column("low")))

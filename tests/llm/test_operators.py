@@ -165,7 +165,9 @@ def test_simhash(docs, none, monkeypatch):
     assert sc.drop_near_copies(docs).columns == docs.columns and sc.drop_near_copies(none).count() == 0
 
 
-def test_suffixes(docs, none):
+@pytest.mark.parametrize("hot", [sm.HOT, 0, 2])
+def test_suffixes(docs, none, monkeypatch, hot):
+    monkeypatch.setattr(sm, "HOT", hot)
     first = {}
     big = 1 << 60
     data = [(big if i is None else i, (t or "").encode()) for i, t in rows()]
