@@ -6,8 +6,11 @@ maximisation on the counts of vote patterns over *all* rows, and a row's posteri
 good replaces the usual all-must-pass filter. Patterns number at most ``3 ** len(RULES)`` whatever the
 corpus, so that table is the only thing that reaches the driver.
 
-Defined results: null or empty text has no words, fails the base check and is not kept; repeated rows are
-judged one by one; an empty table gives an empty result; input columns travel in one struct (``row``), so
+The E-step uses the constrained model: a rule's vote never counts against its own sense and an abstention counts nothing, so a learned ratio
+of the wrong sign is zero there.
+
+Defined results: null or empty text has no words, fails the base check and is not kept; very long texts are read whole; repeated rows are
+judged one by one; at a tie (probability 0.5) a row is kept; an empty table gives an empty result; input columns travel in one struct (``row``), so
 their names can't clash with the operator's own.
 """
 

@@ -12,7 +12,8 @@ dropping each escaping backslash gives the text back.
 
 Defined results: null text and null role are empty strings; a null score is 0; ties between branches go to
 the smaller leaf id; a message whose parent is absent is a root, and messages of or under a parent cycle belong to no path; repeated rows (same tree and id)
-should be numbered apart by the caller, as ``from_turns`` does; an empty table gives no rows.
+should be numbered apart by the caller, as ``from_turns`` does; texts of any length are formatted whole; an empty table gives no rows; columns
+beyond those named are left out, so no names clash.
 """
 
 from __future__ import annotations

@@ -151,6 +151,6 @@ def test_columns_of_the_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for none in (docs.filter("false"), spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0)], docs.schema)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, none, SF).columns == docs.columns, name
-            assert stage(spark, none, SF).count() <= none.count()
+            out = stage(spark, none, SF)
+            assert out.columns == docs.columns and out.count() <= none.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == none.count()
