@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.checkpoints import folder, materialise
 from gridloom.functions import lattice as la
-from gridloom.operators import blocks as bl, frames as fr, plates as pl, pooling as po
+from gridloom.operators import blocks as bl, frames as fr, plates as pl, pooling as po, shards as sh
 from gridloom.plans.layout import ArraySpec, Dimension, Layout, levels, memory_estimate
 from gridloom.sources import store
 
@@ -273,16 +273,21 @@ def zero_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("frame", "y", "cx").agg(F.bool_or(F.col("v") != 0).alias("stored"), F.sum("v").alias("total"))
 
 
+def written_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return pixels(spark, sf).select(la.chunk_of(L, F.col("frame"), F.col("y"), F.col("x")).alias("chunk")).distinct()
+
+
 def shards(spark: SparkSession, sf: str) -> DataFrame:
-    c = pixels(spark, sf).select(la.chunk_of(L, F.col("frame"), F.col("y"), F.col("x")).alias("chunk")).distinct()
-    return c.select("chunk", la.shard_of(L, F.col("chunk")).alias("shard"), la.slot_of(L, F.col("chunk")).alias("slot"), la.shard_path(L, F.col("chunk")).alias("path"))
+    return sh.placed(written_chunks(spark, sf), L).drop("layer")
+
+
+def shard_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return sh.chunks_by_shard(written_chunks(spark, sf), L).select("layer", "shard", F.array_join(F.col("chunks").cast("array<string>"), ",").alias("chunks"))
 
 
 def ragged_slots(spark: SparkSession, sf: str) -> DataFrame:
     """Slots of the written shards that no chunk fills."""
-    have = shards(spark, sf)
-    slots = have.select("path").distinct().withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    return slots.join(have.select("path", "slot"), ["path", "slot"], "left_anti")
+    return sh.empty_slots(written_chunks(spark, sf), L)
 
 
 SHARD_SQL = f"""{CHUNK_SQL}, d AS (SELECT DISTINCT chunk FROM c),
@@ -473,7 +478,7 @@ def queries() -> dict:
     out |= {f"block_pyramid_{m}": block_pyramid(m) for m in ("mean", "min", "max")}
     return out | {
         "pyramid_levels": pyramid_levels, "frame_layout": frame_layout, "transpose_axes": transpose, "swap_xy": swap_xy, "chunk_stats": chunk_stats,
-        "zero_chunks": zero_chunks, "shard_assignment": shards, "ragged_slots": ragged_slots, "frame_gap_check": gap_check, "skip_zero_fill": zero_fill,
+        "zero_chunks": zero_chunks, "shard_assignment": shards, "shard_chunks": shard_chunks, "ragged_slots": ragged_slots, "frame_gap_check": gap_check, "skip_zero_fill": zero_fill,
         "bounds_check": bounds, "frame_residue": residue, "multi_array_routes": routes, "append_shape": append_shape, "memory_estimate": memory,
         "key_checks": key_checks, "plate_index": plate_index, "field_counts": field_counts, "acquisition_check": acquisition_check,
         "group_paths": hierarchy, "metadata_merge": metadata_merge, "moved_chunks": moved_chunks, "store_round_trip": store_round_trip,
@@ -501,6 +506,7 @@ def oracle_sql() -> dict[str, str]:
         "chunk_stats": f"WITH {CHUNK_SQL} SELECT chunk, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most, CAST(sum(CASE WHEN v <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS nonzero FROM c GROUP BY chunk",
         "zero_chunks": f"WITH {PIX}, m AS (SELECT frame, y, x // 4 AS cx, CASE WHEN event_type = 'click' THEN v ELSE 0 END AS v FROM pix) SELECT frame, y, cx, bool_or(v <> 0) AS stored, CAST(sum(v) AS BIGINT) AS total FROM m GROUP BY ALL",
         "shard_assignment": f"WITH {SHARD_SQL} SELECT chunk, shard, slot, path FROM s",
+        "shard_chunks": f"WITH {SHARD_SQL} SELECT chunk // 36 AS layer, shard, string_agg(chunk, ',' ORDER BY chunk) AS chunks FROM s GROUP BY ALL",
         "ragged_slots": f"WITH {SHARD_SQL} SELECT path, slot FROM (SELECT DISTINCT path FROM s), (SELECT unnest(range(0, 16)) AS slot) EXCEPT SELECT path, slot FROM s",
         "frame_gap_check": "WITH e AS (SELECT DISTINCT event_type AS array_key, event_id // 5 AS frame_id FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY array_key ORDER BY frame_id) - 1 AS expected FROM e) SELECT * FROM r WHERE frame_id <> expected",
         "skip_zero_fill": f"WITH {frames} SELECT i AS frame, coalesce(total, 0) AS total FROM (SELECT unnest(range(0, (SELECT max(frame) + 1 FROM fs))) AS i) LEFT JOIN (SELECT * FROM fs WHERE frame % 3 <> 1) ON i = frame",
