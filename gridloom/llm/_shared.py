@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -61,9 +62,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does when the driver collects its garbage.
+
+    What Python lets go of is garbage for the driver's JVM a moment later, so it is asked twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions_for(df: DataFrame, least: int = 0) -> int:

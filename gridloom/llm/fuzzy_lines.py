@@ -72,12 +72,17 @@ def minima(values: list[Column]) -> list[Column]:
     return [F.min(least([v.bitwiseXOR(F.lit(c)) for v in values])).alias(f"m{j}") for j, c in enumerate(CONSTANTS)]
 
 
+def block_minima(rows: DataFrame, key: str, carried: str, last: Column, value) -> DataFrame:
+    """(key, m0, m1, ...): minima over ``value`` of the places 0..last of each row, BLOCK places at a time; ``value`` refers to the column ``carried``."""
+    blocks = rows.select(key, carried, last.alias("last")).select(key, carried, "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(BLOCK))).alias("p"))
+    hashes = blocks.select(key, *[value(F.least(F.col("p") + j, F.col("last"))).alias(f"x{j}") for j in range(BLOCK)])
+    return hashes.groupBy(key).agg(*minima([F.col(f"x{k}") for k in range(BLOCK)]))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """(h, m0, m1, ...): the minima of each of the distinct ``lines`` (line, code)."""
     last = F.greatest(F.octet_length("code") / 2 - SHINGLE, F.lit(0)).cast("int")
-    blocks = lines.select("line", "code", last.alias("last")).select("line", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(BLOCK))).alias("p"))
-    hashes = blocks.select("line", *[F.xxhash64(F.substr("code", F.least(F.col("p") + j, F.col("last")) * 2 + 1, F.lit(2 * SHINGLE))).alias(f"x{j}") for j in range(BLOCK)])
-    signed = hashes.groupBy("line").agg(*minima([F.col(f"x{k}") for k in range(BLOCK)]))
+    signed = block_minima(lines, "line", "code", last, lambda i: F.xxhash64(F.substr("code", i * 2 + 1, F.lit(2 * SHINGLE))))
     return signed.select(line_hash(), *[f"m{j}" for j in range(len(CONSTANTS))])
 
 

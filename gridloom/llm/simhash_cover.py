@@ -234,27 +234,34 @@ def tied(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rooted.join(firsts, F.col("r") == F.col("w")).select("a", F.col("t").alias("b"))
 
 
+def word_shingle(w, i):
+    """Hash of the SIMILAR_WORDS words at place ``i``, of fewer at a short text's end."""
+    return F.xxhash64(*[F.get(w, i + k) for k in range(SIMILAR_WORDS)])
+
+
 def word_sets(text):
-    """The hashed SIMILAR_WORDS-word shingles of a text in lower case; a shorter text is its own only shingle."""
+    """The hashed word shingles of a text in lower case; a shorter text is its own only shingle."""
 
     def of(w):
         last = F.greatest(F.size(w) - SIMILAR_WORDS, F.lit(0))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, F.lit(SIMILAR_WORDS)), " "))))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: word_shingle(w, i)))
 
     return let(words(F.lower(text)), of)
 
 
 def similar_edges(docs: DataFrame, text: str) -> DataFrame:
-    """(a, b): hashes of texts; each text with words is tied to the first of those linked by a Jaccard similarity of 0.8 or more.
+    """(a, b): hashes of texts; each text that is linked to another by a Jaccard similarity of 0.8 or more is tied to the first of its group.
 
-    Candidates come from MinHash buckets (0.992 of the pairs at 0.8) and are checked by their whole shingle sets.
+    Candidates come from MinHash buckets (0.992 of the pairs at 0.8) and are checked by their whole shingle sets. Only texts that share a
+    bucket are kept for that.
     """
-    worded = docs.filter(F.size(words(F.col(text))) > 0)
-    rows = materialise(worded.select(text_key(text), word_sets(F.col(text)).alias("code")).withColumn("h", F.xxhash64("code")))
-    sets = materialise(rows.groupBy("h").agg(F.first("code").alias("code")))
-    signed = sets.select("h", F.explode("code").alias("x")).groupBy("h").agg(*fl.minima([F.col("x")]))
-    groups = fl.linked(materialise(fl.buckets(signed)), sets, lambda code: code)
-    return tied(rows.select("t", "h").distinct(), groups)
+    worded = docs.select(text_key(text), words(F.lower(F.col(text))).alias("w")).filter(F.size("w") > 0)
+    signed = fl.block_minima(worded, "t", "w", F.greatest(F.size("w") - SIMILAR_WORDS, F.lit(0)), lambda i: word_shingle(F.col("w"), i))
+    members = materialise(fl.buckets(signed.withColumnRenamed("t", "h")))
+    some = fl.may_hold(docs.select(text_key(text), F.col(text).alias("code")), "t", members, "h").filter("_may")
+    texts = some.groupBy(F.col("t").alias("h")).agg(F.first("code").alias("code"))
+    groups = fl.linked(members, texts.join(members.select("h").distinct(), "h", "left_semi"), word_sets)
+    return groups.select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
