@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gridloom.checkpoints import folder as shared_folder, materialise
+
+__all__ = ["SPACES", "free_shuffles", "let", "make_room", "materialise", "partitions_for", "read_table", "shared_folder", "words"]
+
 #: Split pattern of the word definition that the operators share: runs without space, tab, \n, \v, \f, \r.
 SPACES = "[ \\t-\\r]+"
 
@@ -37,30 +39,6 @@ def make_room(df: DataFrame, *made: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder of the session and read back, so lineage ends here.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; only a local master (tests) may leave that unset, as a cluster's
-    executors share no temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, where executors and driver find each other's files."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named and (given := sc._jsc.sc().getCheckpointDir()).isDefined():
-        named = given.get()
-    if not named and sc.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir names no shared folder")
-    return named or os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
-
-
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does when the driver collects its garbage.
 
