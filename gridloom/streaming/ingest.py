@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import StreamingQuery
 
 from gridloom.plans.layout import ArraySpec, Layout
 from gridloom.sources import store
@@ -109,7 +109,7 @@ class StoreSink:
         store.commit(self.spec, self.root, frames)
         store.put(f"{self.folder}/done.json", json.dumps({"layers": hi}).encode())
 
-    def start(self, frames: DataFrame, checkpoint: str, **trigger) -> DataStreamWriter:
+    def start(self, frames: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return frames.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
     def finish(self, spark: SparkSession) -> int:
