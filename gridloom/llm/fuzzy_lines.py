@@ -154,8 +154,10 @@ def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
     """(node, root) from the buckets ``members`` (key, h, rank) and ``lines`` (h, code), whose ``sets`` are compared."""
+    spark = members.sparkSession
     lines = materialise(lines)
     sketches = materialise(sketched(lines.select("h", sets(F.col("code")).alias("x"))))
+    free_shuffles(spark)
     # one label for each line so far; links found later join labels
     live, tested, lo, hi = members.withColumn("root", F.col("h")), None, 0, PIVOTS
     while True:
@@ -168,6 +170,7 @@ def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
         more = verified(pairs, lines, sets)
         tested = materialise(more if tested is None else tested.union(more))
         groups = components(tested.filter("same"))
+        free_shuffles(spark)
         # buckets that hold lines that have not been pivots, and more than one component
         live = left.select("key", "h", "rank").join(left.filter(F.col("rank") == hi).select("key"), "key", "left_semi")
         live = live.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", F.coalesce("root", "h").alias("root"))
@@ -180,7 +183,8 @@ def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
 
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, dk, gone): the numbers of the lines that each document loses, for documents that lose any."""
-    groups = line_components(docs, text, doc_id)
+    groups = materialise(line_components(docs, text, doc_id))
+    free_shuffles(docs.sparkSession)
     rows = line_rows(docs, text, doc_id).select("doc", "dk", "line_no", line_hash())
     rows = rows.join(groups, F.col("h") == F.col("node"), "left").select(F.coalesce("root", "h").alias("c"), F.struct("doc", "dk", "line_no").alias("at"))
     first = rows.groupBy("c").agg(F.min("at").alias("first"), F.count("*").alias("times")).filter("times > 1").select("c", "first")
@@ -197,6 +201,7 @@ def without(text: Column, gone: Column) -> Column:
 def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the removed lines cut from ``text``; documents that lose nothing take no part in the last join."""
     gone = materialise(removals(docs, text, doc_id).withColumnRenamed("doc", "gone_doc").withColumnRenamed("dk", "gone_dk"))
+    free_shuffles(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), *document_key(text, doc_id))
     rows = may_hold(rows, "dk", gone, "gone_dk")
     back = lambda new: [F.col("row")[c].alias(c) if c != text else new.alias(text) for c in docs.columns]
