@@ -162,25 +162,35 @@ def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
     live, tested, lo, hi = members.withColumn("root", F.col("h")), None, 0, PIVOTS
     while True:
         left = materialise(live.join(sketches, "h"))
-        pivots = left.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select(F.col("key").alias("pk"), F.col("h").alias("ph"), F.col("root").alias("pr"), F.col("rank").alias("pr_rank"), F.col("n").alias("pn"), F.col("s").alias("ps"))
-        meet = (F.col("key") == F.col("pk")) & (F.col("rank") > F.col("pr_rank")) & (F.col("root") != F.col("pr")) & may_be_alike("s", "n", "ps", "pn")
-        pairs = left.join(pivots, meet).select(F.least("ph", "h").alias("a"), F.greatest("ph", "h").alias("b")).distinct()
-        if tested is not None:  # two lines may meet in several buckets
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        more = verified(pairs, lines, sets)
-        tested = materialise(more if tested is None else tested.union(more))
+        tested = compared(left, tested, lines, sets, lo, hi)
         groups = components(tested.filter("same"))
+        live = unfinished(left, groups, hi)
+        del left  # the plans of a round are not needed any more, nor what they shuffled
         free_shuffles(spark)
-        # buckets that hold lines that have not been pivots, and more than one component
-        live = left.select("key", "h", "rank").join(left.filter(F.col("rank") == hi).select("key"), "key", "left_semi")
-        live = live.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", F.coalesce("root", "h").alias("root"))
-        split = live.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
-        live = materialise(live.join(split, "key", "left_semi"))
         if not live.limit(1).count():
             return groups
         lo, hi = hi, hi * GROWTH
 
 
+def compared(left: DataFrame, tested: DataFrame | None, lines: DataFrame, sets, lo: int, hi: int) -> DataFrame:
+    """``tested`` (a, b, same) and the pairs of the pivots lo..hi-1 of each bucket with the lines behind them that have another label."""
+    pivots = left.filter((F.col("rank") >= lo) & (F.col("rank") < hi)).select(F.col("key").alias("pk"), F.col("h").alias("ph"), F.col("root").alias("pr"), F.col("rank").alias("pr_rank"), F.col("n").alias("pn"), F.col("s").alias("ps"))
+    meet = (F.col("key") == F.col("pk")) & (F.col("rank") > F.col("pr_rank")) & (F.col("root") != F.col("pr")) & may_be_alike("s", "n", "ps", "pn")
+    pairs = left.join(pivots, meet).select(F.least("ph", "h").alias("a"), F.greatest("ph", "h").alias("b")).distinct()
+    if tested is not None:  # two lines may meet in several buckets
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    more = verified(pairs, lines, sets)
+    return materialise(more if tested is None else tested.union(more))
+
+
+def unfinished(left: DataFrame, groups: DataFrame, hi: int) -> DataFrame:
+    """(key, h, rank, root) of the buckets that hold lines that have not been pivots, and more than one component."""
+    rows = left.select("key", "h", "rank").join(left.filter(F.col("rank") == hi).select("key"), "key", "left_semi")
+    rows = rows.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "rank", F.coalesce("root", "h").alias("root"))
+    split = rows.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("key")
+    return materialise(rows.join(split, "key", "left_semi"))
+
+
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, dk, gone): the numbers of the lines that each document loses, for documents that lose any."""
     groups = materialise(line_components(docs, text, doc_id))
