@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import materialise
+from ._shared import leaving_no_shuffles, materialise, release
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    with leaving_no_shuffles(edges.sparkSession):
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,7 +18,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al. 2014): the number of rounds grows with the
     logarithm of the number of nodes, no step makes more rows than there are edges, minima are combined before the shuffle, and a node with
     very many edges is dealt out by adaptive skew joins. Each round is written to the checkpoint folder, so a lost executor
-    costs one round at most.
+    costs one round at most, and goes when the next one is.
     """
     now = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = materialise(now)
@@ -30,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # small star: links a node and its smaller neighbours to the smallest of these
         low = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = materialise(small.filter(F.col("u") != F.col("v")).distinct())
+        old, now = now, materialise(small.filter(F.col("u") != F.col("v")).distinct())
+        release(old)
         last, mark = mark, _mark(now)
         if mark == last:
             break

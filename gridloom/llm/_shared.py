@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.checkpoints import folder as shared_folder, materialise
+from gridloom.checkpoints import folder as shared_folder, leaving_no_shuffles, materialise, release
 
-__all__ = ["SPACES", "free_shuffles", "let", "make_room", "materialise", "partitions_for", "read_table", "shared_folder", "words"]
+__all__ = ["SPACES", "leaving_no_shuffles", "let", "make_room", "materialise", "partitions_for", "read_table", "release", "shared_folder", "words"]
 
 #: Split pattern of the word definition that the operators share: runs without space, tab, \n, \v, \f, \r.
 SPACES = "[ \\t-\\r]+"
@@ -39,17 +36,6 @@ def make_room(df: DataFrame, *made: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does when the driver collects its garbage.
-
-    What Python lets go of is garbage for the driver's JVM a moment later, so it is asked twice.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def partitions_for(df: DataFrame, least: int = 0) -> int:
     """Partitions to deal rows into: the session's setting, which the cluster sizes to its input."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least, 1)

@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._graph import components
-from ._shared import free_shuffles, let, materialise
+from ._shared import let, materialise, partitions_for, release
 
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, GROUPS, BLOCK = 6, 10, 16
@@ -120,8 +120,7 @@ def may_be_alike(a: str, an: str, b: str, bn: str) -> Column:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
-    """The ``pairs`` (a, b) of ``lines`` (h, code) with the column ``same``: whether the ``sets`` of their codes are similar enough."""
-    pairs = materialise(pairs)
+    """The written ``pairs`` (a, b) of ``lines`` (h, code) with the column ``same``: whether the ``sets`` of their codes are similar enough."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("x"))
     some = may_hold(lines, "h", named, "x").filter("_may")
     coded = lambda k: some.select(F.col("h").alias(k), F.col("code").alias(f"c{k}"))
@@ -146,28 +145,29 @@ def may_hold(df: DataFrame, key: str, members: DataFrame, member: str) -> DataFr
 def line_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(node, root): the component of each line hash that is linked to another."""
     members = materialise(buckets(signatures(distinct_lines(line_rows(docs, text, doc_id)))))
-    free_shuffles(docs.sparkSession)
     rows = may_hold(line_rows(docs, text, doc_id).select("line", line_hash()), "h", members, "h").filter("_may")
     lines = rows.groupBy("h").agg(F.first("line").alias("code"))
-    return linked(members, lines.join(members.select("h").distinct(), "h", "left_semi"))
+    groups = linked(members, lines.join(members.select("h").distinct(), "h", "left_semi"))
+    release(members)
+    return groups
 
 
 def linked(members: DataFrame, lines: DataFrame, sets=shingles) -> DataFrame:
-    """(node, root) from the buckets ``members`` (key, h, rank) and ``lines`` (h, code), whose ``sets`` are compared."""
-    spark = members.sparkSession
+    """(node, root) from the buckets ``members`` (key, h, rank) and ``lines`` (h, code), whose ``sets`` are compared. What a round wrote goes with it."""
     lines = materialise(lines)
     sketches = materialise(sketched(lines.select("h", sets(F.col("code")).alias("x"))))
-    free_shuffles(spark)
     # one label for each line so far; links found later join labels
     live, tested, lo, hi = members.withColumn("root", F.col("h")), None, 0, PIVOTS
     while True:
         left = materialise(live.join(sketches, "h"))
+        if tested is not None:
+            release(live)
         tested = compared(left, tested, lines, sets, lo, hi)
-        groups = components(tested.filter("same"))
+        groups = components(gathered(tested).filter("same"))
         live = unfinished(left, groups, hi)
-        del left  # the plans of a round are not needed any more, nor what they shuffled
-        free_shuffles(spark)
-        if not live.limit(1).count():
+        release(left)
+        if live.isEmpty():
+            release(lines, sketches, tested, live)
             return groups
         lo, hi = hi, hi * GROWTH
 
@@ -178,9 +178,17 @@ def compared(left: DataFrame, tested: DataFrame | None, lines: DataFrame, sets,
     meet = (F.col("key") == F.col("pk")) & (F.col("rank") > F.col("pr_rank")) & (F.col("root") != F.col("pr")) & may_be_alike("s", "n", "ps", "pn")
     pairs = left.join(pivots, meet).select(F.least("ph", "h").alias("a"), F.greatest("ph", "h").alias("b")).distinct()
     if tested is not None:  # two lines may meet in several buckets
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.join(gathered(tested), ["a", "b"], "left_anti")
+    pairs = materialise(pairs)
     more = verified(pairs, lines, sets)
-    return materialise(more if tested is None else tested.union(more))
+    out = materialise(more if tested is None else gathered(tested).union(more))
+    release(pairs, *([] if tested is None else [tested]))
+    return out
+
+
+def gathered(tested: DataFrame) -> DataFrame:
+    """``tested`` in no more partitions than the session's: splits of skewed joins and unions of rounds would else add up to thousands."""
+    return tested.coalesce(partitions_for(tested))
 
 
 def unfinished(left: DataFrame, groups: DataFrame, hi: int) -> DataFrame:
@@ -194,7 +202,6 @@ def unfinished(left: DataFrame, groups: DataFrame, hi: int) -> DataFrame:
 def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, dk, gone): the numbers of the lines that each document loses, for documents that lose any."""
     groups = materialise(line_components(docs, text, doc_id))
-    free_shuffles(docs.sparkSession)
     rows = line_rows(docs, text, doc_id).select("doc", "dk", "line_no", line_hash())
     rows = rows.join(groups, F.col("h") == F.col("node"), "left").select(F.coalesce("root", "h").alias("c"), F.struct("doc", "dk", "line_no").alias("at"))
     first = rows.groupBy("c").agg(F.min("at").alias("first"), F.count("*").alias("times")).filter("times > 1").select("c", "first")
@@ -211,7 +218,6 @@ def without(text: Column, gone: Column) -> Column:
 def drop_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the removed lines cut from ``text``; documents that lose nothing take no part in the last join."""
     gone = materialise(removals(docs, text, doc_id).withColumnRenamed("doc", "gone_doc").withColumnRenamed("dk", "gone_dk"))
-    free_shuffles(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), *document_key(text, doc_id))
     rows = may_hold(rows, "dk", gone, "gone_dk")
     back = lambda new: [F.col("row")[c].alias(c) if c != text else new.alias(text) for c in docs.columns]
