@@ -244,20 +244,20 @@ def word_sets(text):
 
     def of(w):
         last = F.greatest(F.size(w) - SIMILAR_WORDS, F.lit(0))
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: word_shingle(w, i)))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: word_shingle(w, i))
 
-    return let(words(F.lower(text)), of)
+    return F.array_distinct(let(words(F.lower(text)), of))
 
 
 def similar_edges(docs: DataFrame, text: str) -> DataFrame:
     """(a, b): hashes of texts; each text that is linked to another by a Jaccard similarity of 0.8 or more is tied to the first of its group.
 
-    Candidates come from MinHash buckets (0.992 of the pairs at 0.8) and are checked by their whole shingle sets. Only texts that share a
+    Candidates come from MinHash buckets (0.995 of the pairs at 0.8) and are checked by their whole shingle sets. Only texts that share a
     bucket are kept for that.
     """
     worded = docs.select(text_key(text), words(F.lower(F.col(text))).alias("w")).filter(F.size("w") > 0)
-    signed = fl.block_minima(worded, "t", "w", F.greatest(F.size("w") - SIMILAR_WORDS, F.lit(0)), lambda i: word_shingle(F.col("w"), i))
-    members = materialise(fl.buckets(signed.withColumnRenamed("t", "h")))
+    places = worded.select(F.col("t").alias("h"), "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - SIMILAR_WORDS, F.lit(0)))).alias("p"))
+    members = materialise(fl.buckets(fl.minima(places.select("h", word_shingle(F.col("w"), F.col("p")).alias("x")))))
     some = fl.may_hold(docs.select(text_key(text), F.col(text).alias("code")), "t", members, "h").filter("_may")
     texts = some.groupBy(F.col("t").alias("h")).agg(F.first("code").alias("code"))
     groups = fl.linked(members, texts.join(members.select("h").distinct(), "h", "left_semi"), word_sets)

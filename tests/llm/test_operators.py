@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import fuzzy_lines as fl, interpolated_lm as lm, language_bitmask as lb, latent_leaks as ll, piece_codec as pc, pseudonyms as ps, quality_rules as qr, reply_trees as rt, simhash_cover as sc, suffix_merge as sm
 from gridloom.llm.queries import tokenizer
@@ -270,6 +271,39 @@ def test_short_lines(spark):
     assert {x.doc_id: x.text for x in out.collect()} == {1: data[0][1], 2: "\n \t\ntwo", 3: "three"}
 
 
+def test_minima_by_classes(spark):
+    r = random.Random(6)
+    sets = {h: [r.randrange(-(2**63), 2**63) for _ in range(n)] for h, n in enumerate([1, 2, 3, 5, 9, 30, 200])}
+    got = fl.minima(spark.createDataFrame([(h, x) for h, xs in sets.items() for x in xs + xs[:2]], "h long, x long")).collect()
+    known = [t << fl.LOW_BITS | fl.LOWS[i] for t, i in fl.PLACES]
+    assert len(set(known)) == len(known) == fl.ROWS * fl.GROUPS
+    # the class of a hash, then its last LOW_BITS
+    code = lambda x: (x % 2**64) >> (64 - fl.CLASS_BITS) << fl.LOW_BITS | x % 2**fl.LOW_BITS
+    assert {x.h: [x[f"m{j}"] for j in range(len(known))] for x in got} == {h: [min(code(x) ^ c for x in xs) for c in known] for h, xs in sets.items()}
+
+
+def test_pairs_of_short_lines_at_the_threshold(spark):
+    """Four of five shingles in common: 0.94 of these pairs shared a bucket when each band took its values from all shingles alike."""
+    r = random.Random(8)
+    lines = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz0123456789", 9)) for _ in range(1500)]
+    out = fl.drop_lines(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(x[:8] for x in lines))], "doc_id long, text string"))
+    texts = {x.doc_id: x.text for x in out.collect()}
+    assert texts[1] == "\n".join(lines) and len(texts[2].split()) <= 0.015 * len(lines)
+
+
+def test_sketches_make_each_set_once(spark, capsys):
+    made = fl.sketched(spark.createDataFrame([(1, "some line")], "h long, code string").select("h", fl.shingles(F.col("code")).alias("x")))
+    made.explain()
+    assert "Filter" not in capsys.readouterr().out and [r.n for r in made.collect()] == [5]
+
+
+def test_lines_in_lower_case(spark):
+    """Lower case is made of whole texts: a final sigma ends where its line does, and only white space of the word definition is blank."""
+    texts = ["\u039f\u0394\u039f\u03a3\n\u0391\u03a3 \n \x0b\f\r\n\u00a0\n\u0130X\n\u3000", "\u03bf\u03b4\u03bf\u03c2"]
+    got = fl.line_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "doc_id").collect()
+    assert {(x.doc, x.line_no, x.line) for x in got} == {(0, 0, "\u03bf\u03b4\u03bf\u03c2"), (0, 1, "\u03b1\u03c2"), (0, 3, "\u00a0"), (0, 4, "i\u0307x"), (0, 5, "\u3000"), (1, 0, "\u03bf\u03b4\u03bf\u03c2")}
+
+
 def test_pipeline_near_copies(spark):
     import corpus_pipeline
 
